@@ -12,6 +12,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sourceloom.functions.lets import let
+
 _PLANE_LIMIT = 0x20000          # letters with compatibility forms all live below this code point
 
 
@@ -64,21 +66,37 @@ def _single_mark_latin_rules() -> tuple[str, str]:
 
 
 def _char_class(chars) -> str:
-    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(chars)) + "]"
+    """Character class with consecutive code points joined into ranges."""
+    points, out = sorted(ord(c) for c in chars), []
+    start = prev = points[0]
+    for cp in [*points[1:], None]:
+        if cp is not None and cp == prev + 1:
+            prev = cp
+            continue
+        out.append(f"\\x{{{start:x}}}" + (f"-\\x{{{prev:x}}}" if prev > start else ""))
+        start = prev = cp
+    return "[" + "".join(out) + "]"
+
+
+# anything beyond ASCII and the ordinary Latin letters may need a one-to-many expansion
+_UNUSUAL = r"[^\x00-\x7F\x{c0}-\x{131}\x{134}-\x{17f}]"
 
 
 def ascii_fold(col: Column) -> Column:
     """NFKD, then drop everything that is not ASCII."""
     src, dst, many = _ascii_rules()
     expansions = F.from_json(F.lit(_as_json(many)), "map<string,string>")
-    found = F.array_distinct(F.regexp_extract_all(col, F.lit(_char_class(many)), F.lit(0)))
-    expanded = F.when(
-        col.rlike(_char_class(many)),
-        F.aggregate(found, col, lambda acc, ch: F.replace(acc, ch, F.try_element_at(expansions, ch))),
-    ).otherwise(col)
+
+    def expand(text: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(_char_class(many)), F.lit(0)))
+        return F.aggregate(found, text, lambda acc, ch: F.replace(acc, ch, F.try_element_at(expansions, ch)))
+
+    def fold(text: Column) -> Column:
+        plain = F.when(text.rlike(_UNUSUAL), expand(text)).otherwise(text)
+        return F.regexp_replace(F.translate(plain, src, dst), r"[^\x00-\x7F]", "")
+
     # the all-ASCII case is by far the most frequent and skips the character walk
-    return F.when(col.rlike(r"^\p{ASCII}*$"), col).otherwise(
-        F.regexp_replace(F.translate(expanded, src, dst), r"[^\x00-\x7F]", ""))
+    return let(col, lambda text: F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(fold(text)))
 
 
 def _as_json(mapping: dict[str, str]) -> str:
@@ -89,8 +107,8 @@ def _as_json(mapping: dict[str, str]) -> str:
 def strip_accents(col: Column) -> Column:
     """Canonical decomposition with the combining marks removed."""
     src, dst = _accent_rules()
-    return F.when(col.rlike(r"^\p{ASCII}*$"), col).otherwise(
-        F.regexp_replace(F.translate(col, src, dst), r"\p{Mn}+", ""))
+    return let(col, lambda t: F.when(t.rlike(r"^\p{ASCII}*$"), t).otherwise(
+        F.regexp_replace(F.translate(t, src, dst), r"\p{Mn}+", "")))
 
 
 def path_norm(col: Column) -> Column:
@@ -151,6 +169,5 @@ def _compat_rules() -> tuple[str, str]:
 def search_fold(col: Column) -> Column:
     """Lower-case and remove the single diacritics the full-text tokenizer ignores."""
     src, dst = _single_mark_latin_rules()
-    low = F.lower(col)
-    return F.when(low.rlike(r"^\p{ASCII}*$"), low).otherwise(
-        F.regexp_replace(F.translate(low, src, dst), r"\p{Mn}+", ""))
+    return let(F.lower(col), lambda t: F.when(t.rlike(r"^\p{ASCII}*$"), t).otherwise(
+        F.regexp_replace(F.translate(t, src, dst), r"\p{Mn}+", "")))

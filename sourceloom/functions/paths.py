@@ -78,69 +78,45 @@ def _first_word(segment: Column) -> Column:
     return F.regexp_extract(F.lower(segment), r"(\S+)", 1)
 
 
-def split_status(name: Column, markers: list[str]) -> Column:
-    """struct<name,status>: a trailing "- archived" or "(closed)" taken off the name."""
+def _status_pattern(markers: list[str]) -> str:
     import re
-    result = F.struct(name.alias("name"), F.lit(None).cast("string").alias("status"))
-    for marker in reversed(markers):
-        pattern = rf"(?i)[-–(]\s*{re.escape(marker)}\s*\)?\s*$"
-        result = F.when(name.rlike(pattern), F.struct(
-            F.trim(F.regexp_replace(name, pattern, "")).alias("name"), F.lit(marker).alias("status"))
-        ).otherwise(result)
-    return result
+    return r"(?i)[-–(]\s*(" + "|".join(re.escape(m) for m in markers) + r")\s*\)?\s*$"
 
 
-def _entity(name_status: Column, kind: str, seq: Column, stage: Column) -> Column:
-    return F.struct(name_status["name"].alias("name"), slug(name_status["name"]).alias("slug"),
-                    F.lit(kind).alias("kind"), seq.cast("bigint").alias("seq"),
-                    name_status["status"].alias("status"), stage.cast("string").alias("stage"))
+def split_status(name: Column, markers: list[str]) -> Column:
+    """struct<name,status>: a trailing "- archived" or "(closed)" taken off the name."""
+    pattern = _status_pattern(markers)
+    return F.struct(F.trim(F.regexp_replace(name, pattern, "")).alias("name"),
+                    F.lower(none_if_blank(F.regexp_extract(name, pattern, 1))).alias("status"))
 
 
-def _tracked(segs: Column, conv: dict) -> Column:
+def _tracked_folder(segs: Column, conv: dict) -> Column:
     """First anchor folder whose numbered child is an entity; one year folder may lie between."""
     anchors = [a.lower() for a in conv["entity_anchors"]]
     blocked = [n.lower() for n in conv["non_entity_names"]]
 
-    def numbered(seg: Column) -> Column:
-        return F.coalesce(strip(seg).rlike(NUMBERED), F.lit(False))
-
     def usable(seg: Column) -> Column:
-        raw = F.trim(F.regexp_extract(strip(seg), NUMBERED, 2))
-        return ~raw.rlike(FILE_NAME) & ~_first_word(raw).isin(blocked)
+        raw = F.trim(F.regexp_extract(seg, NUMBERED, 2))
+        return F.when(~raw.rlike(FILE_NAME) & ~_first_word(raw).isin(blocked), seg)
 
-    def child_of(i: Column) -> Column:
-        near, far = F.get(segs, i + 1), F.get(segs, i + 2)
-        year_between = F.coalesce(near.rlike(r"^20\d\d\b"), F.lit(False))
+    def child(pair: Column) -> Column:
         # a numbered child that is a file or an admin folder ends the search at this anchor
-        return (F.when(numbered(near), F.when(usable(near), near))
-                .when(year_between & numbered(far), F.when(usable(far), far)))
-
-    positions = F.filter(F.sequence(F.lit(0), F.size(segs) - 1),
-                         lambda i: _first_word(F.get(segs, i)).isin(anchors)
-                         | F.lower(F.get(segs, i)).isin(anchors))
-    children = F.filter(F.transform(positions, child_of), lambda c: c.isNotNull())
+        return (F.when(pair["near"].rlike(NUMBERED), usable(pair["near"]))
+                .when(pair["near"].rlike(r"^20\d\d\b") & pair["far"].rlike(NUMBERED), usable(pair["far"])))
 
-    def build(seg: Column) -> Column:
-        raw = F.trim(F.regexp_extract(strip(seg), NUMBERED, 2))
-        seq = F.regexp_extract(strip(seg), NUMBERED, 1)
-        return F.when(seg.isNotNull(), let(split_status(raw, conv["status_markers"]),
-                      lambda ns: _entity(ns, "tracked", seq, F.lit(None))))
+    def child_of(seg: Column, i: Column) -> Column:
+        is_anchor = _first_word(seg).isin(anchors) | F.lower(seg).isin(anchors)
+        return F.when(is_anchor, let(F.struct(strip(F.get(segs, i + 1)).alias("near"),
+                                              strip(F.get(segs, i + 2)).alias("far")), child))
 
-    return let(F.get(children, F.lit(0)), build)
+    return F.get(F.filter(F.transform(segs, child_of), lambda c: c.isNotNull()), F.lit(0))
 
 
-def _prospect(segs: Column, conv: dict) -> Column:
+def _prospect_position(segs: Column, conv: dict) -> Column:
     anchors = [a.lower() for a in conv["prospect_anchors"]]
-    positions = F.filter(F.sequence(F.lit(0), F.size(segs) - 1),
-                         lambda i: F.lower(F.get(segs, i)).isin(anchors)
-                         & F.coalesce(~F.trim(F.get(segs, i + 2)).rlike(FILE_NAME), F.lit(False)))
-
-    def build(i: Column) -> Column:
-        return F.when(i.isNotNull(), let(
-            split_status(F.trim(F.get(segs, i + 2)), conv["status_markers"]),
-            lambda ns: _entity(ns, "prospect", F.lit(None), F.get(segs, i + 1))))
-
-    return let(F.get(positions, F.lit(0)), build)
+    at = F.transform(segs, lambda seg, i: F.when(
+        F.lower(seg).isin(anchors) & F.coalesce(~F.trim(F.get(segs, i + 2)).rlike(FILE_NAME), F.lit(False)), i))
+    return F.get(F.filter(at, lambda i: i.isNotNull()), F.lit(0))
 
 
 def segments(path: Column) -> Column:
@@ -150,8 +126,21 @@ def segments(path: Column) -> Column:
 def anchored_entity(path: Column, conventions: dict | None = None) -> Column:
     """Entity named by the anchor folders (pass 1), NULL when there is none."""
     conv = conventions or CONVENTIONS
-    return let(segments(path), lambda segs: F.when(
-        F.size(segs) > 0, F.coalesce(_tracked(segs, conv), _prospect(segs, conv))))
+
+    def locate(segs: Column) -> Column:
+        return let(F.struct(_tracked_folder(segs, conv).alias("tracked"),
+                            _prospect_position(segs, conv).alias("pos")), lambda h: F.struct(
+            F.coalesce(F.trim(F.regexp_extract(h["tracked"], NUMBERED, 2)), F.trim(F.get(segs, h["pos"] + 2))).alias("raw"),
+            F.regexp_extract(h["tracked"], NUMBERED, 1).cast("bigint").alias("seq"),
+            F.when(h["tracked"].isNull(), F.get(segs, h["pos"] + 1)).alias("stage")))
+
+    def build(hit: Column) -> Column:
+        return F.when(hit["raw"].isNotNull(), let(split_status(hit["raw"], conv["status_markers"]), lambda ns: F.struct(
+            ns["name"].alias("name"), slug(ns["name"]).alias("slug"),
+            F.when(hit["seq"].isNotNull(), "tracked").otherwise("prospect").alias("kind"),
+            hit["seq"].alias("seq"), ns["status"].alias("status"), hit["stage"].alias("stage"))))
+
+    return let(let(segments(path), locate), build)
 
 
 def folder_candidates(path: Column, conventions: dict | None = None) -> Column:
@@ -159,16 +148,13 @@ def folder_candidates(path: Column, conventions: dict | None = None) -> Column:
     conv = conventions or CONVENTIONS
 
     def candidate(seg: Column, pos: Column) -> Column:
-        name = strip(seg)
-        is_numbered = name.rlike(NUMBERED)
-        raw = F.when(is_numbered, F.trim(F.regexp_extract(name, NUMBERED, 2))).otherwise(name)
-        seq = F.when(is_numbered, F.regexp_extract(name, NUMBERED, 1)).cast("bigint")
-        return let(split_status(raw, conv["status_markers"]), lambda ns: F.struct(
-            pos.alias("pos"), slug(ns["name"]).alias("slug"), ns["status"].alias("status"),
-            seq.alias("seq"), raw.rlike(FILE_NAME).alias("is_file")))
-
-    return F.filter(F.transform(segments(path), candidate),
-                    lambda c: ~c["is_file"] & (F.length(c["slug"]) >= 4))
+        raw = F.coalesce(none_if_blank(F.trim(F.regexp_extract(seg, NUMBERED, 2))), F.trim(seg))
+        seq = none_if_blank(F.regexp_extract(seg, NUMBERED, 1)).cast("bigint")
+        return F.when(~raw.rlike(FILE_NAME), let(split_status(raw, conv["status_markers"]), lambda ns: F.struct(
+            pos.alias("pos"), slug(ns["name"]).alias("slug"), ns["status"].alias("status"), seq.alias("seq"))))
+
+    found = F.transform(F.transform(segments(path), lambda x: strip(x)), candidate)
+    return F.filter(found, lambda c: F.length(c["slug"]) >= 4)
 
 
 def path_year(path: Column) -> Column:

@@ -73,13 +73,15 @@ def _month_names() -> str:
     return "(?:" + "|".join(forms) + ")"
 
 
+# the first character is tested before the (costlier) look-behind
+_TWO = f"(?={_any('2')})"
 _PATTERNS = {
-    "ymd": f"{_OPEN}{_YEAR}{_SEP}{_MONTH_NO}{_SEP}{_DAY_NO}{_CLOSE}",
-    "yq": f"{_OPEN}{_YEAR}[{_twin('-')}{_twin(' ')}]?{_any('Q')}{_any('1-4')}{_CLOSE}",
-    "qy": f"{_OPEN}{_any('Q')}{_any('1-4')}(?:{_S}*(?:{_lit('of')}{_S}+)?{_YEAR})?{_CLOSE}",
-    "ym": f"{_OPEN}{_YEAR}{_SEP}{_MONTH_NO}{_CLOSE}(?!{_SEP}?{_D})",
-    "month": f"{_OPEN}{_month_names()}{_any('.')}?(?:{_S}*{_any(',')}?{_S}*{_YEAR})?{_EDGE}",
-    "year": f"{_OPEN}{_YEAR}{_CLOSE}",
+    "ymd": f"{_TWO}{_OPEN}{_YEAR}{_SEP}{_MONTH_NO}{_SEP}{_DAY_NO}{_CLOSE}",
+    "yq": f"{_TWO}{_OPEN}{_YEAR}[{_twin('-')}{_twin(' ')}]?{_any('Q')}{_any('1-4')}{_CLOSE}",
+    "qy": f"(?={_any('Q')}){_OPEN}{_any('Q')}{_any('1-4')}(?:{_S}*(?:{_lit('of')}{_S}+)?{_YEAR})?{_CLOSE}",
+    "ym": f"{_TWO}{_OPEN}{_YEAR}{_SEP}{_MONTH_NO}{_CLOSE}(?!{_SEP}?{_D})",
+    "month": f"(?={_any('JFMASOND')}){_OPEN}{_month_names()}{_any('.')}?(?:{_S}*{_any(',')}?{_S}*{_YEAR})?{_EDGE}",
+    "year": f"{_TWO}{_OPEN}{_YEAR}{_CLOSE}",
 }
 CANDIDATE = "20[0-9]{2}|Q[1-4]|" + "|".join(m[:3] for m in MONTHS)
 

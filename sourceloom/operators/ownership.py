@@ -85,15 +85,15 @@ def resolve_acl(config: dict | None, path: Column, unit: Column, kind: Column) -
 def shared_audience(members: DataFrame, key: str, acl: str = "acl") -> DataFrame:
     """Per group, the labels every restricted member grants; NULL when no member is restricted.
 
-    Counts per (group, label) instead of intersecting collected arrays: all steps combine on the
-    map side, so the size of a group does not matter.
+    One counted row per (group, label): members combine on the map side, and what is gathered per
+    group is bounded by the audience vocabulary of the configuration, not by the group.
     """
-    restricted = members.filter(F.col(acl).isNotNull())
-    totals = members.groupBy(key).agg(F.count(F.col(acl)).alias("_restricted"))
-    per_label = (restricted.select(key, F.explode(F.array_distinct(F.col(acl))).alias("_label"))
-                 .groupBy(key, "_label").agg(F.count(F.lit(1)).alias("_n")))
-    common = (per_label.join(totals, key).filter(F.col("_n") == F.col("_restricted"))
-              .groupBy(key).agg(F.array_sort(F.collect_set("_label")).alias("_common")))
-    nobody = F.array().cast("array<string>")
-    return (totals.join(common, key, "left")
-            .select(key, F.when(F.col("_restricted") > 0, F.coalesce("_common", nobody)).alias("acl")))
+    # every member contributes a NULL label (restricted or not) plus its distinct labels
+    labels = F.concat(F.array(F.lit(None).cast("string")), F.array_distinct(F.coalesce(acl, F.array().cast("array<string>"))))
+    counted = (members.select(key, F.col(acl).isNotNull().alias("_r"), F.explode(labels).alias("_label"))
+               .groupBy(key, "_label").agg(F.count_if("_r").alias("_n")))
+    grouped = counted.groupBy(key).agg(
+        F.max(F.when(F.col("_label").isNull(), F.col("_n"))).alias("_restricted"),
+        F.collect_list(F.when(F.col("_label").isNotNull(), F.struct("_label", "_n"))).alias("_counts"))
+    common = F.array_sort(F.transform(F.filter("_counts", lambda c: c["_n"] == F.col("_restricted")), lambda c: c["_label"]))
+    return grouped.select(key, F.when(F.col("_restricted") > 0, common).alias("acl"))

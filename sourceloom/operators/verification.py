@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sourceloom.functions import numbers, periods
 from sourceloom.functions.fold import WS, plain_norm
+from sourceloom.functions.lets import let
 from sourceloom.functions.numbers import NUMBER, WORD
 
 MAX_LISTED = 12      # fixed value: figures listed per page
@@ -15,14 +16,14 @@ _SHADOW_WORD = r"\x{e030}-\x{e039}\x{e041}-\x{e05a}\x{e061}-\x{e07a}"
 _D2 = r"[\p{Nd}\x{e030}-\x{e039}]"
 _SEP2 = r"[.,\x{e02e}\x{e02c}]"
 # the figure grammar over text whose period spans are shadowed: sees them, so it can reject them
-_MARKED_FIGURE = (rf"(?<![{WORD}.,{_SHADOW_WORD}\x{{e02e}}\x{{e02c}}])"
+_MARKED_FIGURE = (rf"(?={_D2})(?<![{WORD}.,{_SHADOW_WORD}\x{{e02e}}\x{{e02c}}])"
                   rf"(?:{_D2}{{1,3}}(?:{_SEP2}{_D2}{{3}})+(?:{_SEP2}{_D2}+)?|{_D2}+(?:{_SEP2}{_D2}+)?)"
                   rf"{WS}?(?:bn|[kKmMbB])?{WS}?%?(?![{WORD}{_SHADOW_WORD}])")
 
 
 def _join_wrapped_suffix(text: Column) -> Column:
     """A magnitude or percent wrapped to the next line belongs to the figure's own line."""
-    start = rf"((?<![{WORD}.,]){NUMBER})"
+    start = rf"((?=\p{{Nd}})(?<![{WORD}.,]){NUMBER})"
     first = F.regexp_replace(text, rf"{start}\n((?:bn|[kKmMbB]){WS}?%|(?:bn|[kKmMbB])|%)(?![{WORD}])", "$1 $2\n")
     return F.regexp_replace(first, rf"{start}({WS}?(?:bn|[kKmMbB]))\n%(?![{WORD}])", "$1$2 %\n")
 
@@ -166,9 +167,8 @@ def figure_spans(df: DataFrame, keys: list[str], body: Column, hay: Column) -> D
 def missing_mentions(df: DataFrame, names: Column, source: Column, context: Column) -> DataFrame:
     """Advisory: mentions whose name the source (or its file name and path) never states."""
     hay = plain_norm(F.concat_ws(" ", source, context))
-    return (df.withColumn("_hay", hay)
-            .withColumn("mentions_unverified", F.slice(F.filter(
-                names, lambda n: ~F.col("_hay").contains(plain_norm(n))), 1, MAX_LISTED)).drop("_hay"))
+    return df.withColumn("mentions_unverified", let(hay, lambda h: F.slice(F.filter(
+        names, lambda n: ~h.contains(plain_norm(n))), 1, MAX_LISTED)))
 
 
 def keep_better(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
@@ -189,7 +189,6 @@ def unverified_in_answer(answer: Column, evidence: Column) -> Column:
     """array<string>: figures of a short answer that the evidence does not back, in order."""
     shown = F.array_distinct(F.transform(
         F.filter(numbers.figure_tokens(answer), lambda t: ~numbers.is_weak(t)), numbers.display_of))
-    from sourceloom.functions.lets import let
     return let(numbers.evidence_keys(evidence), lambda pool: F.filter(
         shown, lambda d: ~F.arrays_overlap(numbers.token_keys(d), pool)))
 

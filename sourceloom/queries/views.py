@@ -193,7 +193,7 @@ SQL_FIGURE = rf"¦({SQL_NUMBER}(?:\s?¦?(?:bn|[kKmMbB]))?(?:\s?%)?)(?:[^\p{{L}}\
 
 def sql_figures(col: str) -> str:
     return (rf"list_transform(regexp_extract_all({sql_runs(col)}, '{SQL_FIGURE}', 1), "
-            r"x -> regexp_replace(replace(x, '¦', ''), '\s+', ' ', 'g'))")
+            r"lambda x: regexp_replace(replace(x, '¦', ''), '\s+', ' ', 'g'))")
 
 
 def sql_values(num: str) -> str:
@@ -213,14 +213,14 @@ SQL_MAGNITUDE = ("CASE lower(regexp_extract({0}, '(bn|[kKmMbB])', 1)) WHEN 'k' T
 def sql_keys(display: str) -> str:
     """Value keys of one displayed figure, as text at six significant digits."""
     num = f"regexp_extract({display}, '^[0-9.,]+')"
-    values = f"list_filter({sql_values(num)}, v -> v IS NOT NULL)"
+    values = f"list_filter({sql_values(num)}, lambda v: v IS NOT NULL)"
     mag = SQL_MAGNITUDE.format(display)
-    return (f"list_distinct(list_concat(list_transform({values}, v -> printf('%.5e', v)), "
-            f"list_transform({values}, v -> printf('%.5e', v * {mag}))))")
+    return (f"list_distinct(list_concat(list_transform({values}, lambda v: printf('%.5e', v)), "
+            f"list_transform({values}, lambda v: printf('%.5e', v * {mag}))))")
 
 
 def sql_spaced(col: str) -> str:
     """Values of space-grouped thousands (boundaries emulated by splitting at digit runs)."""
     marked = rf"regexp_replace({col}, '([0-9]+)', '¤\1¤', 'g')"
     return (rf"list_transform(regexp_extract_all({marked}, '¤[0-9]{{1,3}}¤(?:[  ]¤[0-9]{{3}}¤)+'), "
-            r"x -> printf('%.5e', CAST(regexp_replace(x, '[^0-9]', '', 'g') AS DOUBLE)))")
+            r"lambda x: printf('%.5e', CAST(regexp_replace(x, '[^0-9]', '', 'g') AS DOUBLE)))")

@@ -42,7 +42,7 @@ def main(argv):
     names = [a for a in argv if not os.path.isdir(a)]
     from sourceloom.queries import ORACLES, PLANS
     spark = build_session(master="local[8]", extra={
-        "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g"})
+        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = oracle_connection(sf_dir)
     bad = []
