@@ -27,9 +27,11 @@ _COLUMN_STRIDE = 1 << 32
 
 def _tokens(df: DataFrame, columns: list[str]) -> Column:
     """Tokens of all text columns with positions that never run across a column border."""
-    parts = [F.transform(search_tokens(F.col(c)), lambda t, i, k=k: F.struct(
-        t.alias("term"), (i + F.lit(k * _COLUMN_STRIDE)).cast("bigint").alias("pos")))
-        for k, c in enumerate(columns)]
+    def placed(column: str, k: int) -> Column:
+        return F.transform(search_tokens(F.col(column)), lambda t, i: F.struct(
+            t.alias("term"), (i + F.lit(k * _COLUMN_STRIDE)).cast("bigint").alias("pos")))
+
+    parts = [placed(c, k) for k, c in enumerate(columns)]
     return F.concat(*parts)
 
 
