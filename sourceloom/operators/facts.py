@@ -38,22 +38,24 @@ def _unit(header: Column) -> Column:
 
 def grid_observations(grid: DataFrame) -> DataFrame:
     """Offline grid mapper: header row, a period or a dimension in column 1, numbers elsewhere."""
-    headers = (grid.filter(F.col("row") == 1)
-               .select(*SHEET, F.transform("values", lambda h: strip(h)).alias("headers")))
+    def described(h: Column) -> Column:
+        return let(strip(h), lambda t: let(slug(t), lambda m: F.struct(
+            t.alias("raw"), F.when(m == "", F.lit("metric")).otherwise(m).alias("metric"), _unit(t).alias("unit"))))
+
+    # header cells are named once per sheet, not once per value
+    headers = grid.filter(F.col("row") == 1).select(*SHEET, F.transform("values", described).alias("headers"))
     first = strip(F.get("values", F.lit(0)))
     body = (grid.filter(F.col("row") > 1)
             .withColumns({"first": first, "period": periods.parse_period(first)})
             .join(headers, SHEET)
             .select(*SHEET, "row", "period",
                     F.when(F.col("period").isNull() & (F.col("first") != ""), F.col("first")).alias("dimension"),
-                    "headers", F.posexplode("values").alias("_c", "cell")))
-    header = F.get("headers", F.col("_c"))
-    metric = slug(header)
-    return (body.filter((F.col("_c") >= 1) & (header != "") & numbers.parse_num(F.col("cell")).isNotNull())
-            .select(*SHEET, "row", (F.col("_c") + 1).alias("col"),
-                    F.when(metric == "", F.lit("metric")).otherwise(metric).alias("metric"),
-                    header.alias("metric_raw"), strip(F.col("cell")).alias("value_raw"),
-                    _unit(header).alias("unit"), "period", "dimension"))
+                    F.posexplode(F.arrays_zip("values", "headers")).alias("_c", "z")))
+    header = F.col("z.headers")
+    return (body.filter((F.col("_c") >= 1) & (header["raw"] != "") & numbers.parse_num(F.col("z.values")).isNotNull())
+            .select(*SHEET, "row", (F.col("_c") + 1).alias("col"), header["metric"].alias("metric"),
+                    header["raw"].alias("metric_raw"), strip(F.col("z.values")).alias("value_raw"),
+                    header["unit"].alias("unit"), "period", "dimension"))
 
 
 def validate_grid(proposals: DataFrame, grid: DataFrame, file_names: DataFrame | None = None,
@@ -67,42 +69,45 @@ def validate_grid(proposals: DataFrame, grid: DataFrame, file_names: DataFrame |
     p = proposals
     if max_observations:
         p = p.filter(F.col("proposal_no") <= max_observations)
-    p = p.withColumns({"_want": cell_norm(F.col("metric_raw"))})
-    located = p.join(cells(grid).withColumnRenamed("value", "_cell"), where, "left")
+    p = p.withColumn("_want", cell_norm(F.col("metric_raw")))
+    # every cell is normalised and read for a period once, whatever number of proposals cite it
+    flat = cells(grid).withColumns({"_norm": cell_norm(F.col("value")), "_period": periods.parse_period(F.col("value"))})
+    located = p.join(flat.select(*where, F.col("value").alias("_cell"), F.col("_norm").alias("_cell_norm")), where, "left")
     claimed, actual = numbers.parse_num(F.col("value_raw")), numbers.parse_num(F.col("_cell"))
-    value_ok = (cell_norm(F.col("value_raw")) == cell_norm(F.col("_cell"))) | F.coalesce(claimed == actual, F.lit(False))
-    located = located.withColumns({"_coord_ok": F.col("_cell").isNotNull(),
-                                   "_value_ok": F.coalesce(value_ok, F.lit(False))})
-    # label and period: first the cells of the own row (one array), then the column (semi joins)
-    rows = grid.select(*SHEET, "row", F.col("values").alias("_row"))
-    name = F.lit(None).cast("string")
-    located = located.join(rows, [*SHEET, "row"], "left")
-    if file_names is not None:
-        located = located.join(file_names.select("file_id", F.col("name").alias("_file_name")), "file_id", "left")
-        name = F.col("_file_name")
-    located = located.withColumns({
-        "_label_row": F.coalesce(F.exists("_row", lambda c: cell_norm(c).contains(F.col("_want"))), F.lit(False)),
-        "_period_row": F.coalesce(F.exists("_row", lambda c: periods.parse_period(c) == F.col("period")), F.lit(False))
-        | F.coalesce(periods.parse_period(F.col("sheet")) == F.col("period"), F.lit(False))
-        | F.coalesce(periods.parse_period(name) == F.col("period"), F.lit(False))}).drop("_row", "_file_name")
-    column_cells = cells(grid).select(*SHEET, "col", cell_norm(F.col("value")).alias("_norm"), "value")
+    value_ok = F.when(cell_norm(F.col("value_raw")) == F.col("_cell_norm"), True).otherwise(
+        F.coalesce(claimed == actual, F.lit(False)))
+    rows = grid.select(*SHEET, "row", F.transform("values", lambda c: cell_norm(c)).alias("_row"))
+    located = (located.join(rows, [*SHEET, "row"], "left")
+               .withColumns({"_coord_ok": F.col("_cell").isNotNull(), "_value_ok": value_ok,
+                             "_label_row": F.coalesce(F.exists("_row", lambda c: c.contains(F.col("_want"))), F.lit(False))})
+               .drop("_row"))
+    # labels not in the own row are looked for in the column: a semi join that stops at the first hit
     open_labels = (located.filter(F.col("_coord_ok") & ~F.col("_label_row"))
                    .select(*SHEET, "col", "_want").distinct().alias("l"))
-    cc = column_cells.alias("c")
+    cc = flat.select(*SHEET, "col", "_norm").alias("c")
     label_hits = open_labels.join(
         cc, [F.col(f"l.{k}") == F.col(f"c.{k}") for k in (*SHEET, "col")] + [F.col("c._norm").contains(F.col("l._want"))],
         "left_semi").withColumn("_label_col", F.lit(True))
-    column_periods = (column_cells.select(*SHEET, "col", periods.parse_period(F.col("value")).alias("period"))
-                      .filter(F.col("period").isNotNull()).distinct().withColumn("_period_col", F.lit(True)))
+    # periods readable in the row, the column, the sheet name or the file name
+    readable = flat.filter(F.col("_period").isNotNull()).withColumnRenamed("_period", "period")
+    row_periods = readable.select(*SHEET, "row", "period").distinct().withColumn("_p1", F.lit(True))
+    column_periods = readable.select(*SHEET, "col", "period").distinct().withColumn("_p2", F.lit(True))
+    titles = grid.select(*SHEET).distinct().withColumn("period", periods.parse_period(F.col("sheet")))
+    if file_names is not None:
+        named = file_names.select("file_id", periods.parse_period(F.col("name")).alias("period"))
+        titles = titles.unionByName(titles.select(*SHEET).join(named, "file_id"))
+    titles = titles.filter(F.col("period").isNotNull()).distinct().withColumn("_p3", F.lit(True))
     checked = (located.join(label_hits, [*SHEET, "col", "_want"], "left")
-               .join(column_periods, [*SHEET, "col", "period"], "left"))
+               .join(row_periods, [*SHEET, "row", "period"], "left")
+               .join(column_periods, [*SHEET, "col", "period"], "left")
+               .join(titles, [*SHEET, "period"], "left")
+               .withColumn("_period_ok", F.coalesce("_p1", "_p2", "_p3", F.lit(False))))
     no_period = F.col("period").isNull() | (F.col("period") == "")
     reason = (F.when(~F.col("_coord_ok"), F.lit("bad-coordinates"))
               .when(~F.col("_value_ok"), F.lit("value-not-in-cell"))
               .when((F.length("_want") < 2) | ~(F.col("_label_row") | F.coalesce("_label_col", F.lit(False))),
                     F.lit("label-not-found"))
-              .when(~no_period & ~(F.col("_period_row") | F.coalesce("_period_col", F.lit(False))),
-                    F.lit("period-not-found")))
+              .when(~no_period & ~F.col("_period_ok"), F.lit("period-not-found")))
     judged = checked.withColumn("reason", reason)
     first_kept = (judged.filter(F.col("reason").isNull()).groupBy(*where)
                   .agg(F.min("proposal_no").alias("_first"), F.count(F.lit(1)).alias("_n"))

@@ -35,17 +35,36 @@ def _tokens(df: DataFrame, columns: list[str]) -> Column:
     return F.concat(*parts)
 
 
-def build_postings(pages: DataFrame, columns: list[str] | None = None, positions: bool = True) -> DataFrame:
-    """term, path, tf [, positions].  A page is one input row, so its tokens combine in its own task
-    and only postings cross the network."""
+MAX_BROADCAST_TERMS = 200_000          # a term is a word: 200 000 of them stay below 20 MB
+
+
+def _wanted(terms: DataFrame) -> DataFrame:
+    """The term list, broadcast only when it has been counted and found small."""
+    small = terms.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS
+    return F.broadcast(terms) if small else terms
+
+
+def build_postings(pages: DataFrame, columns: list[str] | None = None, positions: bool = True,
+                   terms: DataFrame | None = None) -> DataFrame:
+    """term, path, tf [, positions]; ``terms`` restricts the index to the words of known questions.
+
+    A page is one input row, so its tokens combine in its own task and only postings cross the
+    network.
+    """
     cols = columns or [c for c in TEXT_COLUMNS if c in pages.columns]
-    if not positions:
-        flat = F.concat(*[search_tokens(F.col(c)) for c in cols])
-        return (pages.select("path", F.explode(flat).alias("term")).groupBy("term", "path")
-                .agg(F.count(F.lit(1)).alias("tf")))
-    return (pages.select("path", F.explode(_tokens(pages, cols)).alias("t"))
-            .groupBy(F.col("t.term").alias("term"), "path")
-            .agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("t.pos")).alias("positions")))
+    if positions:
+        tokens = pages.select("path", F.explode(_tokens(pages, cols)).alias("t")).select("path", "t.term", "t.pos")
+    else:
+        tokens = pages.select("path", F.explode(F.concat(*[search_tokens(F.col(c)) for c in cols])).alias("term"))
+    if terms is not None:
+        tokens = tokens.join(_wanted(terms.select("term").distinct()), "term", "left_semi")
+    counted = [F.count(F.lit(1)).alias("tf")]
+    return tokens.groupBy("term", "path").agg(*counted, *([F.array_sort(F.collect_list("pos")).alias("positions")] if positions else []))
+
+
+def question_words(asked: DataFrame) -> DataFrame:
+    """Distinct single words behind the phrases of :func:`ask_terms` rows."""
+    return asked.select(F.explode("phrases").alias("p")).select(F.explode(F.split("p", " ")).alias("term")).distinct()
 
 
 def page_lengths(pages: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -153,6 +172,10 @@ def with_snippets(hits: DataFrame, pages: DataFrame, width: int = 240) -> DataFr
     return hits.join(bodies, "path").withColumn("snippet", snippet(F.col("body"), F.col("tokens"), width)).drop("body")
 
 
-def search(questions: DataFrame, pages: DataFrame, postings: DataFrame, lengths: DataFrame, **options) -> DataFrame:
+def search(questions: DataFrame, pages: DataFrame, postings: DataFrame | None = None,
+           lengths: DataFrame | None = None, **options) -> DataFrame:
+    """Ranked hits; without a stored index, one restricted to the words asked for is built on the fly."""
     asked = ask_terms(questions)
-    return rank(asked, bm25(asked, postings, lengths), pages, **options)
+    if postings is None:
+        postings = build_postings(pages, terms=question_words(asked))
+    return rank(asked, bm25(asked, postings, page_lengths(pages) if lengths is None else lengths), pages, **options)

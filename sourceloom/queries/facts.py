@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sourceloom.operators import facts as ops
 from sourceloom.queries.registry import query
+from sourceloom.session import cut_lineage
 from sourceloom.queries.views import (FACTS_SQL, MONTHLY_SQL, REPORTS_SQL, fact_store, reports, sheets, superseded_pages, table)
 
 
@@ -38,7 +39,7 @@ reasons AS (
 @query("facts_validate", f"WITH {FACTS_SQL}, {_PROPOSED} SELECT file_id, CAST(n AS BIGINT) AS proposal_no, reason FROM reasons")
 def facts_validate(spark, sf):
     """Grid proposals with one seeded defect per customer sheet, of a kind chosen by its number."""
-    grid = sheets(spark, sf)
+    grid = cut_lineage(sheets(spark, sf))       # a stored table in production
     order = W.partitionBy("file_id").orderBy("row", "col")
     p = ops.grid_observations(grid).withColumns({
         "proposal_no": F.row_number().over(order).cast("bigint"),
@@ -49,7 +50,7 @@ def facts_validate(spark, sf):
          .withColumn("metric_raw", F.when(first & (F.col("k") == 3), F.lit("net margin")).otherwise(F.col("metric_raw")))
          .withColumn("period", F.when(first & (F.col("k") == 4), F.lit("2099-01")).otherwise(F.col("period"))))
     twice = p.filter(first & (F.col("k") == 5)).withColumn("proposal_no", F.col("proposal_no") + 100000)
-    return ops.validate_grid(p.unionByName(twice), grid).select("file_id", "proposal_no", "reason")
+    return ops.validate_grid(cut_lineage(p.unionByName(twice)), grid).select("file_id", "proposal_no", "reason")
 
 
 @query("facts_store", f"""WITH {FACTS_SQL} SELECT file_id, page_path, entity, metric, value_raw, round(value_num, 4) AS value_num,

@@ -50,8 +50,7 @@ def _ranked(scope: str) -> str:
 
 
 def _search(spark, sf, **options):
-    pages = index_pages(spark, sf)
-    return ops.search(questions(spark, sf), pages, ops.build_postings(pages), ops.page_lengths(pages), **options)
+    return ops.search(questions(spark, sf), index_pages(spark, sf), **options)
 
 
 @query("postings", f"WITH {_TOKENS} SELECT term, path, count(*) AS tf FROM toks GROUP BY ALL")
@@ -67,7 +66,8 @@ def page_lengths(spark, sf):
 @query("bm25_scores", f"WITH {_BM25} SELECT question_id, path, round(bm25, 5) + 0.0 AS bm25 FROM score")
 def bm25_scores(spark, sf):
     pages = index_pages(spark, sf)
-    scored = ops.bm25(ops.ask_terms(questions(spark, sf)), ops.build_postings(pages), ops.page_lengths(pages))
+    asked = ops.ask_terms(questions(spark, sf))
+    scored = ops.bm25(asked, ops.build_postings(pages, terms=ops.question_words(asked)), ops.page_lengths(pages))
     return scored.select("question_id", "path", (F.round("bm25", 5) + 0.0).alias("bm25"))
 
 

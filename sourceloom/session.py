@@ -16,27 +16,39 @@ RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # expressions are heavy per row: keep small shuffles spread over the cores
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # collected lists per key: stay hash-based beyond the default 128 keys per task
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.maxPlanStringLength": "100000",
 }
 
 
+# Capturing a Python call site per column call makes large expressions slow to build.
+QUIET = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+
 def build_session(app_name: str = "sourceloom", master: str | None = None,
                   extra: dict[str, str] | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_SETTINGS, **(extra or {})}.items():
+    for key, value in {**RUNTIME_SETTINGS, **QUIET, **(extra or {})}.items():
         builder = builder.config(key, value)
     return tune(builder.getOrCreate())
 
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else created."""
-    for key, value in RUNTIME_SETTINGS.items():
-        spark.conf.set(key, value)
+    for key, value in {**RUNTIME_SETTINGS, **QUIET}.items():
+        try:
+            spark.conf.set(key, value)
+        except Exception:  # noqa: BLE001 - fixed when the session was created; a speed setting only
+            if key not in QUIET:
+                raise
     return spark
 
 
