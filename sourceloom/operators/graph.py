@@ -154,21 +154,28 @@ def render_nodes(entities: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 # --- merge proposals -------------------------------------------------------------------------------
-def rare_word_pairs(names: DataFrame, key: str, scope: list[str]) -> DataFrame:
-    """Pairs worth comparing inside a scope: the rarest word of one name occurs in the other.
+COMMON_WORD = 1000          # names per scope beyond which a word no longer blocks on its own
 
-    Token containment always satisfies this, so the containment test loses nothing; the number of
-    candidates of a name is the frequency of its rarest word rather than the size of the scope.
+
+def shared_word_pairs(names: DataFrame, key: str, scope: list[str]) -> DataFrame:
+    """Pairs worth comparing inside a scope.
+
+    Two names meet when they share a word that at most ``COMMON_WORD`` names of the scope use, or
+    when the rarest word of one occurs in the other.  The first rule is linear (at most
+    ``COMMON_WORD`` partners per word occurrence); the second keeps token containment complete for
+    names made of common words only.
     """
     words = (names.select(*scope, key).distinct()
              .select(*scope, key, F.explode(F.array_distinct(F.filter(F.split(key, r"\s+"), lambda w: w != ""))).alias("w")))
     frequency = words.groupBy(*scope, "w").agg(F.count(F.lit(1)).alias("df"))
-    rarest = (words.join(frequency, [*scope, "w"]).groupBy(*scope, key)
-              .agg(F.min(F.struct("df", "w")).alias("r")).select(*scope, key, F.col("r.w").alias("w")))
-    left = rarest.withColumnRenamed(key, "x")
-    right = words.withColumnRenamed(key, "y")
-    return (left.join(right, [*scope, "w"]).filter(F.col("x") != F.col("y"))
-            .select(*scope, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    weighed = words.join(frequency, [*scope, "w"])
+    rarest = (weighed.groupBy(*scope, key).agg(F.min(F.struct("df", "w")).alias("r"))
+              .select(*scope, key, F.col("r.w").alias("w"), F.col("r.df").alias("df")))
+    uncommon = weighed.filter(F.col("df") <= COMMON_WORD).select(*scope, F.col(key).alias("x"), "w")
+    partners = words.withColumnRenamed(key, "y")
+    common_only = rarest.filter(F.col("df") > COMMON_WORD).select(*scope, F.col(key).alias("x"), "w")
+    met = uncommon.unionByName(common_only).join(partners, [*scope, "w"]).filter(F.col("x") != F.col("y"))
+    return met.select(*scope, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def contained(a: Column, b: Column) -> Column:
@@ -178,7 +185,7 @@ def contained(a: Column, b: Column) -> Column:
 
 def merge_candidates(keys: DataFrame, with_ratio: bool = True) -> DataFrame:
     """Entity keys that may name the same thing: token containment or a high matching ratio."""
-    pairs = rare_word_pairs(keys.filter(F.col("key") != ""), "key", [])
+    pairs = shared_word_pairs(keys.filter(F.col("key") != ""), "key", [])
     pairs = pairs.withColumn("contained", contained(F.col("a"), F.col("b")))
     if not with_ratio:
         return pairs.filter("contained").select("a", "b", "contained")
