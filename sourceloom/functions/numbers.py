@@ -16,8 +16,9 @@ WORD = r"\p{L}\p{N}_"
 DIGIT = r"\p{Nd}"
 NUMBER = rf"(?:{DIGIT}{{1,3}}(?:[.,]{DIGIT}{{3}})+(?:[.,]{DIGIT}+)?|{DIGIT}+(?:[.,]{DIGIT}+)?)"
 # (the leading digit is tested before the costlier look-behind)
-FIGURE = rf"(?={DIGIT})(?<![{WORD}.,]){NUMBER}{WS}?(?:bn|[kKmMbB])?{WS}?%?(?![{WORD}])"
-SPACED_GROUPS = (rf"(?={DIGIT})(?<!{DIGIT}){DIGIT}{{1,3}}(?:[ \x{{a0}}\x{{202f}}\x{{2009}}]{DIGIT}{{3}})+"
+_FAST = rf"(?=[0-9\x{{80}}-\x{{10ffff}}])(?={DIGIT})"      # ASCII letters fail on one range test
+FIGURE = rf"{_FAST}(?<![{WORD}.,]){NUMBER}{WS}?(?:bn|[kKmMbB])?{WS}?%?(?![{WORD}])"
+SPACED_GROUPS = (rf"{_FAST}(?<!{DIGIT}){DIGIT}{{1,3}}(?:[ \x{{a0}}\x{{202f}}\x{{2009}}]{DIGIT}{{3}})+"
                  rf"(?!{DIGIT})")
 MAGNITUDES = {"k": 1e3, "m": 1e6, "b": 1e9, "bn": 1e9}
 

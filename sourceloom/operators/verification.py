@@ -23,9 +23,11 @@ _MARKED_FIGURE = (rf"(?={_D2})(?<![{WORD}.,{_SHADOW_WORD}\x{{e02e}}\x{{e02c}}])"
 
 def _join_wrapped_suffix(text: Column) -> Column:
     """A magnitude or percent wrapped to the next line belongs to the figure's own line."""
+    wrapped = text.rlike(rf"\n(?:(?:bn|[kKmMbB])(?![{WORD}])|%)")
     start = rf"((?=\p{{Nd}})(?<![{WORD}.,]){NUMBER})"
     first = F.regexp_replace(text, rf"{start}\n((?:bn|[kKmMbB]){WS}?%|(?:bn|[kKmMbB])|%)(?![{WORD}])", "$1 $2\n")
-    return F.regexp_replace(first, rf"{start}({WS}?(?:bn|[kKmMbB]))\n%(?![{WORD}])", "$1$2 %\n")
+    second = F.regexp_replace(first, rf"{start}({WS}?(?:bn|[kKmMbB]))\n%(?![{WORD}])", "$1$2 %\n")
+    return F.when(wrapped, second).otherwise(text)
 
 
 def marked_lines(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
