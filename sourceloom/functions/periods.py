@@ -132,15 +132,17 @@ def _claim(acc: Column, kind: str) -> Column:
 
 def scan_periods(text: Column) -> Column:
     """struct<text, signals>: the text with claimed spans shadowed, and the periods asserted."""
-    text = F.coalesce(text, F.lit(""))
-    start = F.struct(text.alias("text"), F.array().cast(f"array<{PERIOD_TYPE}>").alias("signals"))
+    def start(t: Column) -> Column:
+        return F.struct(t.alias("text"), F.array().cast(f"array<{PERIOD_TYPE}>").alias("signals"))
 
     def chain(kinds: list[str], acc: Column) -> Column:
         if not kinds:
             return acc
         return let(_claim(acc, kinds[0]), lambda nxt: chain(kinds[1:], nxt))
 
-    return F.when(text.rlike(CANDIDATE), let(start, lambda acc: chain(list(_PATTERNS), acc))).otherwise(start)
+    # the text may itself be an expensive expression: bind it once
+    return let(F.coalesce(text, F.lit("")), lambda t: F.when(
+        t.rlike(CANDIDATE), let(start(t), lambda acc: chain(list(_PATTERNS), acc))).otherwise(start(t)))
 
 
 def period_signals(text: Column) -> Column:
