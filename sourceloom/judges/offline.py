@@ -51,10 +51,8 @@ def write_pages(docs: DataFrame) -> DataFrame:
 
 
 # The two defects a misbehaving writer is made to commit once.
-INVENTED = ("Revenue soared to $99.9M with a 77% margin. "
-            "(two figures deliberately invented by the fake-flawed demo backend)\n\n")
-MISATTRIBUTED = ("Headline: ARR reached 512000 in 2026-01. "
-                 "(a real figure deliberately tied to the wrong month by the fake-flawed demo backend)\n\n")
+INVENTED = "Revenue soared to $99.9M with a 77% margin.\n\n"
+MISATTRIBUTED = "Headline: ARR reached 512000 in 2026-01.\n\n"
 
 
 def write_flawed_pages(docs: DataFrame) -> DataFrame:
