@@ -178,3 +178,19 @@ def without_repeated(docs: DataFrame, run: int = RUN, min_chars: int = MIN_CHARS
                 yield whole.filter(stays)
 
     return rows.mapInArrow(edit, fields)
+
+
+#: DuckDB: the result of digest() where doc_id is unique.
+SQL = rf"""
+WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+trimmed AS (SELECT doc_id, x, list_transform(x, lambda y: trim(y, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS y FROM t),
+places AS (SELECT doc_id, p, y[p] AS a, y[p + 1] AS b FROM trimmed, unnest(generate_series(1, len(y))) AS g(p)),
+runs AS (SELECT doc_id, p, 1 AS n, [a] AS s FROM places WHERE length(a) >= {LONG_CHARS}
+         UNION ALL SELECT doc_id, p, 2, [a, b] FROM places WHERE b IS NOT NULL AND length(a) + length(b) >= {MIN_CHARS}),
+ranked AS (SELECT doc_id, p, n, row_number() OVER (PARTITION BY n, s ORDER BY doc_id, p) AS nth FROM runs),
+gone AS (SELECT doc_id, list(DISTINCT q) AS gone FROM ranked, unnest(generate_series(p, p + n - 1)) AS g(q) WHERE nth > 1 GROUP BY doc_id)
+SELECT doc_id, coalesce(array_to_string(CASE WHEN gone IS NULL THEN x ELSE (
+           SELECT list(x[i] ORDER BY i) FROM (SELECT unnest(generate_series(1, len(x))) AS i) WHERE NOT list_contains(gone, i)) END, chr(10)), '') AS text,
+       len(x)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed
+FROM t LEFT JOIN gone USING (doc_id)
+"""

@@ -125,3 +125,16 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
 def digest(docs: DataFrame) -> DataFrame:
     found = cut_repeats(docs)
     return found.select(id_of(F.col("rid")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+#: DuckDB: the result of digest() where doc_id is unique.
+SQL = rf"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+windows AS (SELECT doc_id, p, w[p:p + {WINDOW - 1}] AS s FROM t, unnest(generate_series(1, len(w) - {WINDOW - 1})) AS g(p)),
+ranked AS (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS nth FROM windows),
+gone AS (SELECT doc_id, list(DISTINCT q) AS gone FROM ranked, unnest(generate_series(p, p + {WINDOW - 1})) AS g(q) WHERE nth > 1 GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE (
+           SELECT list(w[i] ORDER BY i) FROM (SELECT unnest(generate_series(1, len(w))) AS i) WHERE NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
+FROM t LEFT JOIN gone USING (doc_id)
+"""
