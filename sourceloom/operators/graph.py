@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sourceloom.functions.fold import node_slug
-from sourceloom.functions.similarity import name_ratio, ratio_possible
+from sourceloom.functions.similarity import name_ratio
 from sourceloom.functions.words import entity_key, is_noise_key
+from sourceloom.operators.naming import close_pairs, contained_pairs
 
 NODE_ALIASES = 8            # fixed value: aliases listed on a node page
 MERGE_RATIO = 0.75          # fixed value: similarity that proposes a merge
@@ -23,14 +24,14 @@ NOT_NAMES = [
 ]
 
 
-def guess_mentions(docs: DataFrame, key: str, text: str = "text", min_count: int = 3, top: int = 8) -> DataFrame:
-    """Capitalised words a document repeats: the first ``top`` names by alphabet."""
+def guess_mentions(docs: DataFrame, key: str, text: str = "text", min_count: int = 3, top: int | None = None) -> DataFrame:
+    """Capitalised words a document repeats, by alphabet; ``top`` cuts the list for a display."""
     words = F.regexp_extract_all(
         F.col(text), F.lit(r"(?<![\p{L}\p{N}_])[A-Z][a-zA-Z]{3,}(?![\p{L}\p{N}_])"), F.lit(0))
     counted = (docs.select(key, F.explode(words).alias("name")).filter(~F.col("name").isin(NOT_NAMES))
                .groupBy(key, "name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count))
     ranked = counted.withColumn("pos", F.row_number().over(W.partitionBy(key).orderBy("name")))
-    return ranked.filter(F.col("pos") <= top).select(key, "pos", "name", F.lit("organization").alias("type"))
+    return (ranked if top is None else ranked.filter(F.col("pos") <= top)).select(key, "pos", "name", F.lit("organization").alias("type"))
 
 
 def clean_mentions(mentions: DataFrame) -> DataFrame:
@@ -44,11 +45,16 @@ def mention_counts(mentions: DataFrame) -> DataFrame:
 
 
 def registry_aliases(registry: DataFrame) -> DataFrame:
-    """alias_key -> entity_id; when two entities claim a spelling, the last id in order keeps it."""
+    """alias_key -> entity_id; of entities that claim a spelling the last one keeps it.
+
+    Last by ``position`` (place in the registry file), or by id where the registry has no such column.
+    """
+    place = F.col("position") if "position" in registry.columns else F.lit(0)
     spellings = F.explode(F.concat(F.array("entity_id", "name"), F.coalesce("aliases", F.array())))
-    return (registry.select("entity_id", spellings.alias("spelling"))
-            .select(entity_key(F.col("spelling")).alias("alias_key"), "entity_id")
-            .filter(F.col("alias_key") != "").groupBy("alias_key").agg(F.max("entity_id").alias("entity_id")))
+    return (registry.select("entity_id", place.alias("place"), spellings.alias("spelling"))
+            .select(entity_key(F.col("spelling")).alias("alias_key"), "place", "entity_id")
+            .filter(F.col("alias_key") != "").groupBy("alias_key").agg(F.max(F.struct("place", "entity_id")).alias("last"))
+            .select("alias_key", F.col("last.entity_id").alias("entity_id")))
 
 
 def keyed(counts: DataFrame, registry: DataFrame | None = None) -> DataFrame:
@@ -97,20 +103,27 @@ def build_entities(counts: DataFrame, registry: DataFrame | None = None, min_men
 
 
 def unique_slugs(entities: DataFrame) -> DataFrame:
-    """Numbered suffixes for colliding slugs, skipping numbers a real slug already uses."""
-    ordered = entities.withColumn("_rank", F.row_number().over(W.partitionBy("base").orderBy("key")))
-    natural = ordered.filter(F.col("base").rlike(r"-[1-9]\d*$")).select(
+    """Numbered suffixes for colliding slugs, skipping numbers a real slug already uses.
+
+    The k-th collision takes the k-th number from 2 on that is free.  Below the j-th used number u there are
+    u - j - 1 free ones, so the number is k + 1 plus the used numbers with fewer than k free ones below:
+    a running count over one ordering, however many entities share a slug.
+    """
+    ordered = entities.withColumn("_k", F.row_number().over(W.partitionBy("base").orderBy("key")) - 1)
+    colliding = ordered.filter(F.col("_k") > 0)
+    taken = (entities.filter(F.col("base").rlike(r"-[1-9]\d*$")).select(
         F.regexp_replace("base", r"-[1-9]\d*$", "").alias("base"),
-        F.regexp_extract("base", r"-([1-9]\d*)$", 1).try_cast("bigint").alias("_n"))
-    colliding = ordered.filter(F.col("_rank") > 1)
-    used = (natural.join(colliding.select("base").distinct(), "base", "left_semi")
-            .groupBy("base").agg(F.collect_set("_n").alias("_used")))
-    numbers = F.array_except(F.sequence(F.lit(2).cast("bigint"), (F.col("_rank") + 1 + F.size(F.coalesce(
-        "_used", F.array().cast("array<bigint>")))).cast("bigint")), F.coalesce("_used", F.array().cast("array<bigint>")))
-    return (ordered.join(used, "base", "left")
-            .withColumn("slug", F.when(F.col("_rank") == 1, F.col("base")).otherwise(
-                F.concat("base", F.lit("-"), F.get(numbers, F.col("_rank") - 2).cast("string"))))
-            .drop("base", "_rank", "_used"))
+        F.regexp_extract("base", r"-([1-9]\d*)$", 1).try_cast("bigint").alias("_u")).filter(F.col("_u") >= 2).distinct()
+        .withColumn("_free", F.col("_u") - F.row_number().over(W.partitionBy("base").orderBy("_u")) - 1))
+    line = (colliding.select("base", F.col("_k").cast("bigint").alias("at"), "key", F.lit(0).alias("used"))
+            .unionByName(taken.select("base", F.col("_free").alias("at"), F.lit(None).cast("string").alias("key"), F.lit(1).alias("used"))))
+    below = F.sum("used").over(W.partitionBy("base").orderBy("at", "used").rowsBetween(W.unboundedPreceding, W.currentRow))
+    numbered = (line.withColumn("_below", below).filter(F.col("used") == 0)
+                .select("base", "key", (F.col("at") + 1 + F.col("_below")).alias("_number")))
+    return (ordered.join(numbered, ["base", "key"], "left")
+            .withColumn("slug", F.when(F.col("_k") == 0, F.col("base")).otherwise(
+                F.concat("base", F.lit("-"), F.col("_number").cast("string"))))
+            .drop("base", "_k", "_number"))
 
 
 def node_aliases(counts: DataFrame, entities: DataFrame, registry: DataFrame | None = None,
@@ -154,44 +167,16 @@ def render_nodes(entities: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 # --- merge proposals -------------------------------------------------------------------------------
-COMMON_WORD = 1000          # names per scope beyond which a word no longer blocks on its own
-
-
-def shared_word_pairs(names: DataFrame, key: str, scope: list[str]) -> DataFrame:
-    """Pairs worth comparing inside a scope.
-
-    Two names meet when they share a word that at most ``COMMON_WORD`` names of the scope use, or
-    when the rarest word of one occurs in the other.  The first rule is linear (at most
-    ``COMMON_WORD`` partners per word occurrence); the second keeps token containment complete for
-    names made of common words only.
-    """
-    words = (names.select(*scope, key).distinct()
-             .select(*scope, key, F.explode(F.array_distinct(F.filter(F.split(key, r"\s+"), lambda w: w != ""))).alias("w")))
-    frequency = words.groupBy(*scope, "w").agg(F.count(F.lit(1)).alias("df"))
-    weighed = words.join(frequency, [*scope, "w"])
-    rarest = (weighed.groupBy(*scope, key).agg(F.min(F.struct("df", "w")).alias("r"))
-              .select(*scope, key, F.col("r.w").alias("w"), F.col("r.df").alias("df")))
-    uncommon = weighed.filter(F.col("df") <= COMMON_WORD).select(*scope, F.col(key).alias("x"), "w")
-    partners = words.withColumnRenamed(key, "y")
-    common_only = rarest.filter(F.col("df") > COMMON_WORD).select(*scope, F.col(key).alias("x"), "w")
-    met = uncommon.unionByName(common_only).join(partners, [*scope, "w"]).filter(F.col("x") != F.col("y"))
-    return met.select(*scope, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def contained(a: Column, b: Column) -> Column:
-    ta, tb = F.split(a, r"\s+"), F.split(b, r"\s+")
-    return (F.size(F.array_except(ta, tb)) == 0) | (F.size(F.array_except(tb, ta)) == 0)
-
-
 def merge_candidates(keys: DataFrame, with_ratio: bool = True) -> DataFrame:
-    """Entity keys that may name the same thing: token containment or a high matching ratio."""
-    pairs = shared_word_pairs(keys.filter(F.col("key") != ""), "key", [])
-    pairs = pairs.withColumn("contained", contained(F.col("a"), F.col("b")))
+    """Entity keys that may name the same thing: token containment or a high ratio; complete at every size."""
+    known = keys.filter(F.col("key") != "")
+    held = contained_pairs(known, "key", []).withColumn("contained", F.lit(True))
     if not with_ratio:
-        return pairs.filter("contained").select("a", "b", "contained")
-    a, b = F.col("a"), F.col("b")
-    maybe = pairs.filter(F.col("contained") | ratio_possible(a, b, MERGE_RATIO))
-    return maybe.withColumn("ratio", name_ratio(a, b)).filter(F.col("contained") | (F.col("ratio") >= MERGE_RATIO))
+        return held
+    close = close_pairs(known, "key", [], MERGE_RATIO)
+    return held.join(close, ["a", "b"], "full_outer").select(
+        "a", "b", F.coalesce("contained", F.lit(False)).alias("contained"),
+        F.coalesce("ratio", name_ratio(F.col("a"), F.col("b"))).alias("ratio"))
 
 
 def propose_merges(candidates: DataFrame, titles: DataFrame) -> DataFrame:

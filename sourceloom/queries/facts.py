@@ -148,7 +148,7 @@ fig AS (SELECT *, regexp_extract(sentence, '[€$£]\s?[0-9][0-9.,]*\s?(?:bn|[kK
 
 @query("facts_prose", f"""WITH {_PROSE} SELECT doc_id, lower(words[1] || '-' || words[2]) AS metric, words[1] || ' ' || words[2] AS metric_raw,
   trim(regexp_replace(figure, '^[€$£ ]+', '')) AS value_raw, CASE WHEN contains(figure, '$') THEN 'usd' END AS unit,
-  left(trim(regexp_replace(sentence, '\\s+', ' ', 'g')), 300) AS quote
+  trim(regexp_replace(sentence, '\\s+', ' ', 'g')) AS quote
 FROM fig WHERE figure <> '' AND len(words) >= 2""")
 def facts_prose(spark, sf):
     d = reports(spark, sf).withColumn("file_id", F.col("doc_id"))

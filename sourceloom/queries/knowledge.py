@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sourceloom.functions import paths
+from sourceloom.functions.lets import let
 from sourceloom.functions.similarity import text_similarity, word_pairs
 from sourceloom.functions.words import entity_key, marker_score, version_stem
 from sourceloom.operators import changes, chat, dossiers, graph, operations, versions
@@ -17,17 +18,19 @@ _STEM = (r"lower(trim(regexp_replace(regexp_replace(regexp_replace(name, '\.[^.]
 _SCORE = (r"(CASE WHEN contains(lower(name), 'final') THEN 100 ELSE 0 END - CASE WHEN contains(lower(name), 'draft') THEN 100 ELSE 0 END "
           r"+ coalesce(TRY_CAST(regexp_extract(lower(name), '\bv(\d+)\b', 1) AS INT), 0) "
           r"- CASE WHEN regexp_matches(lower(name), '\bcopy\b|\(\d+\)') THEN 1 ELSE 0 END)")
-# documents named after their opening words, so near copies carry the same title
+# documents named after three words of the whole text (its longest, first and last by alphabet): near copies share them
 _MARKS = ["", " FINAL", " draft", " v2", " (1)", " copy", " v3"]
 _MARK_SQL = "CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(_MARKS)) + " END"
 _DOCS = f"""
 named AS (SELECT doc_id, 'f' || CAST(doc_id AS VARCHAR) AS file_id, lang AS grp, CAST(2020 + doc_id % 6 AS VARCHAR) AS as_of, text,
-   trim(regexp_replace(substr(text, 1, 24), '[^A-Za-z]+', ' ', 'g')) || {_MARK_SQL} || '.md' AS name FROM documents),
+   coalesce(list_max(list_transform(w, lambda x: {{'n': length(x), 'w': x}})).w || ' ' || list_min(w) || ' ' || list_max(w), '') || {_MARK_SQL} || '.md' AS name
+   FROM (SELECT *, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents)),
 docs AS (SELECT *, {_STEM} AS stem, {_SCORE} AS score FROM named)"""
 
 
 def version_docs(spark, sf):
-    title = F.trim(F.regexp_replace(F.substring("text", 1, 24), "[^A-Za-z]+", " "))
+    title = let(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.coalesce(F.concat_ws(" ", F.array_max(F.transform(
+        w, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"], F.array_min(w), F.array_max(w)), F.lit("")))
     return table(spark, sf, "documents").select(
         "doc_id", F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("file_id"),
         F.concat(title, F.expr(_MARK_SQL), F.lit(".md")).alias("name"), F.lit("").alias("entity"), F.col("lang").alias("unit"),
@@ -59,21 +62,33 @@ def version_candidates(spark, sf):
     return versions.same_name_links(fam, versions.family_heads(fam))
 
 
-@query("version_links", f"""WITH {_HEADS},
+_PRINTS = r"""
 p AS (SELECT file_id, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))
-       ELSE list_distinct(w) END AS pairs FROM (SELECT file_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM docs)),
-l AS (SELECT old_id, new_id, CASE WHEN len(a.pairs) + len(b.pairs) = 0 THEN 1.0
-       ELSE 2.0 * len(list_intersect(a.pairs, b.pairs)) / (len(a.pairs) + len(b.pairs)) END AS sim
-     FROM same JOIN p a ON a.file_id = old_id JOIN p b ON b.file_id = new_id)
-SELECT old_id, new_id, round(sim, 6) AS similarity FROM l WHERE sim >= 0.35""")
+       ELSE list_distinct(w) END AS pairs FROM (SELECT file_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM docs))"""
+_SIMILARITY = """CASE WHEN len(pa.pairs) + len(pb.pairs) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(pa.pairs, pb.pairs)) / (len(pa.pairs) + len(pb.pairs)) END"""
+_FAMILY_LINKS = f"""{_HEADS}, {_PRINTS},
+fl AS (SELECT a.file_id AS old_id, b.file_id AS new_id, {_SIMILARITY} AS sim, row_number() OVER (PARTITION BY a.file_id ORDER BY b.score DESC, b.as_of DESC, b.file_id DESC) AS rn
+   FROM docs a JOIN docs b ON a.grp = b.grp AND a.stem = b.stem AND (b.score > a.score OR (b.score = a.score AND b.as_of > a.as_of))
+   JOIN p pa ON pa.file_id = a.file_id JOIN p pb ON pb.file_id = b.file_id WHERE {_SIMILARITY} >= 0.35)"""
+
+
+@query("version_links", f"WITH {_FAMILY_LINKS} SELECT old_id, new_id, round(sim, 6) AS similarity FROM fl WHERE rn = 1")
 def version_links(spark, sf):
     docs = version_docs(spark, sf)
     return versions.detect_versions(docs, similar_names=False).select("old_id", "new_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("version_links_similar_names")
+_RATIO = "(length({a}) + length({b}) - (2 * levenshtein({a}, {b}) - abs(length({a}) - length({b}))))::DOUBLE / (length({a}) + length({b}))"
+
+
+@query("version_links_similar_names", f"""WITH {_FAMILY_LINKS},
+near AS (SELECT x.head_id AS xi, x.head_score AS xs, x.head_as_of AS xd, y.head_id AS yi, y.head_score AS ys, y.head_as_of AS yd
+   FROM heads x JOIN heads y ON x.grp = y.grp AND x.stem < y.stem AND {_RATIO.format(a='x.stem', b='y.stem')} >= 0.55),
+ruled AS (SELECT CASE WHEN xs > ys OR (xs = ys AND xd > yd) THEN yi ELSE xi END AS old_id, CASE WHEN xs > ys OR (xs = ys AND xd > yd) THEN xi ELSE yi END AS new_id
+   FROM near WHERE xs <> ys OR xd <> yd),
+nl AS (SELECT old_id, new_id, {_SIMILARITY} AS sim FROM ruled JOIN p pa ON pa.file_id = old_id JOIN p pb ON pb.file_id = new_id)
+SELECT old_id, new_id, round(sim, 6) AS similarity FROM fl WHERE rn = 1 UNION ALL SELECT old_id, new_id, round(sim, 6) FROM nl WHERE sim >= 0.35""")
 def version_links_similar_names(spark, sf):
-    """With the name ratio between families (a vectorised function, so no SQL statement)."""
     return versions.detect_versions(version_docs(spark, sf)).select("old_id", "new_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -153,7 +168,7 @@ men AS (SELECT doc_id, name, row_number() OVER (PARTITION BY doc_id ORDER BY nam
    WHERE regexp_full_match(name, '[A-Z][a-zA-Z]{{3,}}') AND name NOT IN {_NOT} GROUP BY ALL) WHERE n >= 3)"""
 
 
-@query("mentions_guess", f"WITH {_MENTIONS} SELECT doc_id, CAST(pos AS BIGINT) AS pos, name, 'organization' AS type FROM men WHERE pos <= 8")
+@query("mentions_guess", f"WITH {_MENTIONS} SELECT doc_id, CAST(pos AS BIGINT) AS pos, name, 'organization' AS type FROM men")
 def mentions_guess(spark, sf):
     m = graph.guess_mentions(table(spark, sf, "documents"), "doc_id")
     return m.withColumn("pos", F.col("pos").cast("bigint"))
@@ -262,9 +277,11 @@ def merge_candidates(spark, sf):
     return graph.merge_candidates(_merge_keys(spark, sf), with_ratio=False).select("a", "b")
 
 
-@query("merge_candidates_ratio")
+@query("merge_candidates_ratio", f"""WITH {_KEYS}, kw AS (SELECT key, string_split(key, ' ') AS w FROM ks),
+r AS (SELECT x.key AS a, y.key AS b, list_has_all(x.w, y.w) OR list_has_all(y.w, x.w) AS contained, {_RATIO.format(a='x.key', b='y.key')} AS ratio FROM kw x JOIN kw y ON x.key < y.key)
+SELECT a, b, contained, round(ratio, 6) AS ratio FROM r WHERE contained OR ratio >= 0.75""")
 def merge_candidates_ratio(spark, sf):
-    """Adds pairs with a high matching ratio (a vectorised function, so no SQL statement)."""
+    """Adds pairs with a high ratio."""
     return graph.merge_candidates(_merge_keys(spark, sf)).select("a", "b", "contained", F.round("ratio", 6).alias("ratio"))
 
 
@@ -433,7 +450,7 @@ def ops_status(spark, sf):
     return operations.status_counters(ops_state(spark, sf))
 
 
-@query("ops_top_errors", f"WITH {_OPS} SELECT left(error, 120) AS error, count(*) AS n FROM st WHERE status = 'error' GROUP BY ALL ORDER BY n DESC, error LIMIT 5")
+@query("ops_top_errors", f"WITH {_OPS} SELECT error, count(*) AS n FROM st WHERE status = 'error' GROUP BY ALL ORDER BY n DESC, error LIMIT 5")
 def ops_top_errors(spark, sf):
     return operations.top_errors(ops_state(spark, sf))
 

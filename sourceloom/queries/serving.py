@@ -34,8 +34,8 @@ idf AS (SELECT phrase, greatest(ln((n_pages - count(*) + 0.5) / (count(*) + 0.5)
 score AS (SELECT question_id, path, -sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avg_len))) AS bm25
   FROM qp JOIN hit USING (phrase) JOIN idf USING (phrase) JOIN lens USING (path), tot GROUP BY ALL)"""
 _RANK = _BM25 + r""",
-cand AS (SELECT * FROM (SELECT s.*, i.*, row_number() OVER (PARTITION BY question_id ORDER BY bm25, s.path) AS rn
-   FROM score s JOIN idx i ON i.path = s.path WHERE {scope}) WHERE rn <= 40),
+cand AS (SELECT * FROM (SELECT s.*, i.*
+   FROM score s JOIN idx i ON i.path = s.path WHERE {scope})),
 fin AS (SELECT question_id, path, bm25,
    (CASE WHEN superseded_by <> '' THEN 4.0 ELSE 1.0 END) * (CASE verification WHEN 'failed' THEN 2.5 WHEN 'partial' THEN 1.2 ELSE 1.0 END)
    * (CASE WHEN quality = 'manual_review' THEN 1.5 ELSE 1.0 END)

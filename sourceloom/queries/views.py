@@ -104,7 +104,9 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("doc_id") % 4
     body = F.concat("text", F.when(kind < 2, right).otherwise(wrong),
                     F.when(kind % 2 == 1, invented).otherwise(F.lit("")))
-    return d.join(o, "doc_id").select(
+    # a document without an order reports a fixed one
+    fixed = {"o_totalprice": F.coalesce("o_totalprice", F.lit(1000.0)), "o_orderdate": F.coalesce("o_orderdate", F.lit("1996-01-15").cast("timestamp"))}
+    return d.join(o, "doc_id", "left").withColumns(fixed).select(
         "doc_id", source.alias("source"), body.alias("body"),
         F.concat(F.lit("Report "), F.col("doc_id").cast("string"), F.lit(".md")).alias("context"))
 
@@ -119,7 +121,8 @@ reports AS (SELECT d.doc_id,
     text || chr(10) || 'Order revenue in ' || CASE WHEN d.doc_id % 4 < 2 THEN m1 ELSE m2 END || ' reached $' || total || '.'
          || CASE WHEN d.doc_id % 2 = 1 THEN chr(10) || 'Revenue soared to $99.9M with a 77% margin.' ELSE '' END AS body,
     'Report ' || CAST(d.doc_id AS VARCHAR) || '.md' AS context
-  FROM documents d JOIN o5 ON o5.doc_id = d.doc_id)"""
+  FROM (SELECT d.doc_id, text, coalesce(total, '1000.00') AS total, coalesce(m1, '2001-01') AS m1, coalesce(m2, '2001-02') AS m2
+        FROM documents d LEFT JOIN o5 ON o5.doc_id = d.doc_id) d)"""
 
 
 # --- monthly sheets per customer ---------------------------------------------------------------------

@@ -1,11 +1,12 @@
-import difflib
 import itertools
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sourceloom.functions.access import visible
-from sourceloom.functions.similarity import name_ratio
 from sourceloom.operators import changes, curation, facts, graph, ownership, search, versions
+from sourceloom.operators.naming import close_pairs
 from sourceloom.operators.pages import annotate_field, parse_pages
 
 
@@ -77,15 +78,58 @@ def test_merge_candidates_lose_no_containment(spark):
     assert got == brute
 
 
-def test_similar_names_match_brute_force_where_words_are_shared(spark):
-    names = ["acme quarterly report", "acme quarterly report corrected", "globex plan", "quarterly numbers acme", "roadmap"]
-    df = spark.createDataFrame([("g", n, n, 0, "") for n in names], "grp string, stem string, head_id string, head_score int, head_as_of string")
-    pairs = graph.shared_word_pairs(df.select("grp", "stem"), "stem", ["grp"])
-    got = {(r["a"], r["b"]) for r in pairs.withColumn("r", name_ratio(F.col("a"), F.col("b")))
-           .filter(F.col("r") >= versions.NAME_RATIO).collect()}
-    brute = {tuple(sorted(p)) for p in itertools.combinations(names, 2)
-             if difflib.SequenceMatcher(None, *sorted(p)).ratio() >= 0.55 and set(p[0].split()) & set(p[1].split())}
-    assert got == brute
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def plain_ratio(a, b):
+    total = len(a) + len(b)
+    return (total - (2 * edits(a, b) - abs(len(a) - len(b)))) / total if total else 1.0
+
+
+@pytest.mark.parametrize("threshold", [0.55, 0.75])
+def test_close_names_match_brute_force(spark, threshold):
+    r = random.Random(4)
+    names = {"acme quarterly report", "acme quarterly report corrected", "globex plan", "globex plans", "q", "", "zz"}
+    while len(names) < 90:
+        names.add("".join(r.choice("abcde ") for _ in range(r.randint(1, 14))).strip())
+    rows = [(g, n) for n in names for g in ("g", "h" if len(n) % 2 else None)]
+    got = {(r.grp, r.a, r.b) for r in close_pairs(spark.createDataFrame(rows, "grp string, stem string"), "stem", ["grp"], threshold).collect()}
+    scopes = {}
+    for g, n in rows:
+        scopes.setdefault(g, set()).add(n)
+    assert got == {(g, *sorted(p)) for g, own in scopes.items() for p in itertools.combinations(own, 2) if "" not in p and plain_ratio(*p) >= threshold}
+
+
+def test_no_name_is_too_common_to_be_compared(spark):
+    names = [f"{w} report" for w in ("zulu", "zuly")] + [f"x{i:05d}y report" for i in range(1_100)]
+    df = spark.createDataFrame([(n,) for n in names], "key string")
+    got = {(r["a"], r["b"]) for r in graph.merge_candidates(df.filter("key like 'zul%' or key like '%00_y %'")).collect()}
+    assert ("zulu report", "zuly report") in got
+    every = {(r["a"], r["b"]) for r in close_pairs(df, "key", [], 0.9).filter("a like 'zul%'").collect()}
+    assert every == {("zulu report", "zuly report")}
+
+
+def test_versions_link_to_the_newest_similar_one(spark):
+    text, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [("1", "plan v1.md", "2026-01", text), ("2", "plan v2.md", "2026-02", text + " more"), ("3", "plan FINAL.md", "2026-03", other),
+            ("4", "plan v2 (1).md", "2026-02", text), ("5", "roadmap.md", "2026-01", text)]
+    docs = spark.createDataFrame([(i, n, "e", "", d, t) for i, n, d, t in rows], "file_id string, name string, entity string, unit string, as_of string, text string")
+    got = {(r["old_id"], r["new_id"]) for r in versions.detect_versions(docs, similar_names=False).collect()}
+    assert got == {("1", "2"), ("4", "2")}
+
+
+def test_slug_numbers_of_very_many_collisions(spark):
+    rows = [(f"k{i:05d}", "s/x") for i in range(3_000)] + [(f"n{u}", f"s/x-{u}") for u in (2, 3, 7, 2_999)]
+    got = {r["key"]: r["slug"] for r in graph.unique_slugs(spark.createDataFrame(rows, "key string, base string")).collect()}
+    free = [n for n in range(2, 4_000) if n not in (2, 3, 7, 2_999)]
+    assert got["k00000"] == "s/x" and [got[f"k{i:05d}"] for i in range(1, 3_000)] == [f"s/x-{n}" for n in free[:2_999]]
 
 
 def test_slug_collisions_skip_real_slugs(spark):
