@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sourceloom.functions.lets import let
 
-_PLANE_LIMIT = 0x20000          # letters with compatibility forms all live below this code point
+_PLANE_LIMIT = 0x30000          # no character from here on has a decomposition
 
 
 def _ascii_of(ch: str) -> str:
@@ -150,24 +150,56 @@ def plain_norm(col: Column) -> Column:
 
 
 def cell_norm(col: Column) -> Column:
-    """Comparison form of a spreadsheet cell: compatibility width folded, trimmed, lower."""
-    src, dst = _compat_rules()
-    wide = F.when(col.rlike(r"^\p{ASCII}*$"), col).otherwise(F.translate(col, src, dst))
-    return collapse_spaces(F.lower(strip(wide)))
+    """Comparison form of a spreadsheet cell: compatibility composed, trimmed, lower."""
+    return collapse_spaces(F.lower(strip(let(col, lambda t: F.when(t.rlike(r"^\p{ASCII}*$"), t).otherwise(_compatible(t))))))
 
 
 @functools.lru_cache(maxsize=1)
-def _compat_rules() -> tuple[str, str]:
-    src, dst = [], []
+def _compat_rules() -> tuple[str, str, dict[str, str]]:
+    """(one-to-one sources, their targets, one-to-many expansions) for compatibility composition."""
+    src, dst, many = [], [], {}
     for cp in range(0x80, _PLANE_LIMIT):
         if 0xD800 <= cp <= 0xDFFF:
             continue
         ch = chr(cp)
         out = unicodedata.normalize("NFKC", ch)
-        if len(out) == 1 and out != ch:
+        if len(out) > 1:
+            many[ch] = out
+        elif out != ch:
             src.append(ch)
             dst.append(out)
-    return "".join(src), "".join(dst)
+    return "".join(src), "".join(dst), many
+
+
+@functools.lru_cache(maxsize=1)
+def _composed_pairs() -> dict[str, str]:
+    """Base character and combining mark -> the one character they compose to."""
+    pairs = {}
+    for cp in range(0xC0, _PLANE_LIMIT):
+        if 0xD800 <= cp <= 0xDFFF:
+            continue
+        parts = unicodedata.decomposition(chr(cp)).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            pair = "".join(chr(int(x, 16)) for x in parts)
+            if unicodedata.normalize("NFC", pair) == chr(cp):
+                pairs[pair] = chr(cp)
+    return pairs
+
+
+def _replaced(text: Column, found: Column, mapping: dict[str, str]) -> Column:
+    table = F.from_json(F.lit(_as_json(mapping)), "map<string,string>")
+    return F.aggregate(F.array_distinct(found), text, lambda acc, x: F.replace(acc, x, F.coalesce(F.try_element_at(table, x), x)))
+
+
+def _compatible(text: Column) -> Column:
+    src, dst, many = _compat_rules()
+
+    def compose(t: Column) -> Column:
+        return F.when(t.rlike(r"\p{M}"), _replaced(t, F.regexp_extract_all(t, F.lit(r"\P{M}\p{M}"), F.lit(0)), _composed_pairs())).otherwise(t)
+
+    # up to three marks follow one base letter in composed alphabets
+    spread = F.when(text.rlike(_UNUSUAL), _replaced(text, F.regexp_extract_all(text, F.lit(_char_class(many)), F.lit(0)), many)).otherwise(text)
+    return let(F.translate(spread, src, dst), lambda a: let(compose(a), lambda b: let(compose(b), compose)))
 
 
 def search_fold(col: Column) -> Column:

@@ -140,8 +140,12 @@ def scan_periods(text: Column) -> Column:
             return acc
         return let(_claim(acc, kinds[0]), lambda nxt: chain(kinds[1:], nxt))
 
+    # Private-use characters of the text itself (icon fonts) must not read as shadows: a neutral sign takes their place.
+    def own(t: Column) -> Column:
+        return F.when(t.rlike(SHADOWED), F.regexp_replace(t, SHADOWED, "\ufffd")).otherwise(t)
+
     # the text may itself be an expensive expression: bind it once
-    return let(F.coalesce(text, F.lit("")), lambda t: F.when(
+    return let(let(F.coalesce(text, F.lit("")), own), lambda t: F.when(
         t.rlike(CANDIDATE), let(start(t), lambda acc: chain(list(_PATTERNS), acc))).otherwise(start(t)))
 
 

@@ -51,7 +51,9 @@ def elect_canonical(pending: DataFrame, state: DataFrame, inventory: DataFrame)
     lowest = live.groupBy("raw_hash").agg(F.min("file_id").alias("lowest"))
     winner = (lowest.join(serving, "raw_hash", "left")
               .select("raw_hash", F.coalesce("served_by", "lowest").alias("canonical_id")))
-    out = pending.join(winner, "raw_hash", "left")
+    # rows without a hash (deletions) have no winner: a key of their own keeps them from meeting in one task
+    keyed = pending.withColumn("_key", F.coalesce("raw_hash", F.concat(F.lit("-"), "file_id")))
+    out = keyed.join(winner.withColumnRenamed("raw_hash", "_key"), "_key", "left").select(*pending.columns, "canonical_id")
     return out.withColumn("canonical_id", F.when(F.col("reason") == "deleted", F.col("file_id"))
                           .otherwise(F.coalesce("canonical_id", "file_id")))
 
@@ -102,6 +104,12 @@ def guard_mass_deletion(listing: DataFrame, manifest: DataFrame) -> None:
         raise MassDeletion("the listing is empty but the mirror owns entries")
 
 
+def guard_empty_input(inventory: DataFrame, state: DataFrame) -> None:
+    """The same brake for a pass: nothing listed while documents are on record."""
+    if inventory.isEmpty() and not state.filter(F.col("status") != "deleted").isEmpty():
+        raise MassDeletion("no document is listed but the state holds some")
+
+
 def remove_vanished(current: DataFrame, known: DataFrame, key: str = "path") -> DataFrame:
     """Known entries that are no longer present (derived files to delete)."""
     return known.join(current.select(key).distinct(), key, "left_anti")
@@ -116,11 +124,12 @@ def index_changes(pages: DataFrame, index: DataFrame) -> DataFrame:
     return new.join(old, "path", "full_outer").select("path", action.alias("action"))
 
 
-def child_paths(listing: DataFrame, root_id: str, root_label: str, max_depth: int = 64) -> DataFrame:
-    """Folder paths from parent links: one join per level, children attached to resolved parents.
+def child_paths(listing: DataFrame, root_id: str, root_label: str) -> DataFrame:
+    """Folder paths from parent links, of any depth: one join per level, children attached to resolved parents.
 
     ``listing``: file_id, name, parent_id, explicit_path (NULL unless the source supplies one).
-    Unresolvable ancestors fall back to the root.  Lineage is cut each round.
+    Unresolvable ancestors and cycles hang below the root.  Each level is stored once, so a lost executor costs
+    one level at most.
     """
     from sourceloom.functions.paths import join_path
     from sourceloom.session import cut_lineage
@@ -131,22 +140,17 @@ def child_paths(listing: DataFrame, root_id: str, root_label: str, max_depth: in
     at_root = ((F.col("parent_key") == root_id) | F.col("parent_known").isNull()
                | (F.col("parent_key") == F.col("file_id")))
     explicit = F.coalesce(F.col("explicit_path").startswith("/"), F.lit(False))
-    resolved = cut_lineage(base.filter(explicit | at_root).select(
-        "file_id", F.when(explicit, F.col("explicit_path")).otherwise(join_path(root, F.col("name"))).alias("path")))
-    waiting = cut_lineage(base.filter(~(explicit | at_root)).select("file_id", "name", "parent_key"))
-    frontier, levels = resolved, [resolved]
-    for _ in range(max_depth):
-        if waiting.isEmpty():
-            break
+    frontier = base.filter(explicit | at_root).select(
+        "file_id", F.when(explicit, F.col("explicit_path")).otherwise(join_path(root, F.col("name"))).alias("path"))
+    below = base.filter(~(explicit | at_root)).select("file_id", "name", "parent_key")
+    resolved = frontier
+    while True:
+        # a row has one parent, so it is reached at most once and cycles are never reached
         parents = frontier.select(F.col("file_id").alias("parent_key"), F.col("path").alias("parent_path"))
-        frontier = cut_lineage(waiting.join(parents, "parent_key")
+        frontier = cut_lineage(below.join(parents, "parent_key")
                                .select("file_id", join_path(F.col("parent_path"), F.col("name")).alias("path")))
         if frontier.isEmpty():
             break
-        levels.append(frontier)
-        waiting = cut_lineage(waiting.join(frontier.select("file_id"), "file_id", "left_anti"))
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    # cycles never reach the root: they hang below it by name
-    return out.unionByName(waiting.select("file_id", join_path(root, F.col("name")).alias("path")))
+        resolved = resolved.unionByName(frontier)
+    cyclic = below.join(resolved.select("file_id"), "file_id", "left_anti")
+    return resolved.unionByName(cyclic.select("file_id", join_path(root, F.col("name")).alias("path")))

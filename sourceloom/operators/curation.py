@@ -1,6 +1,9 @@
 """Corpus curation: classification, exact de-duplication, trimming, inventory keys."""
 from __future__ import annotations
 
+import json
+import mimetypes
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -183,7 +186,7 @@ def build_inventory(manifest: DataFrame, known_ids: DataFrame | None = None) ->
     else:
         base = base.withColumn("known", F.lit(None).cast("string"))
     ext = F.regexp_replace(paths.extension(F.col("rel")), r"^\.", "")
-    mime = F.create_map(*[F.lit(x) for kv in MIME_TYPES.items() for x in kv])
+    mime = F.from_json(F.lit(json.dumps(MIME_TYPES)), "map<string,string>")
     return base.select(
         F.coalesce("known", paths.local_key(F.col("rel"))).alias("file_id"),
         paths.base_name(F.col("rel")).alias("name"),
@@ -193,14 +196,5 @@ def build_inventory(manifest: DataFrame, known_ids: DataFrame | None = None) ->
         F.col("unit").alias("org_unit"), F.try_element_at(mime, ext).alias("mime_type"))
 
 
-# Media types guessed from the extension.
-MIME_TYPES = {
-    "md": "text/markdown", "txt": "text/plain", "csv": "text/csv", "tsv": "text/tab-separated-values",
-    "json": "application/json", "pdf": "application/pdf", "html": "text/html", "css": "text/css",
-    "doc": "application/msword", "xls": "application/vnd.ms-excel", "ppt": "application/vnd.ms-powerpoint",
-    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
-    "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
-    "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
-    "odt": "application/vnd.oasis.opendocument.text", "ods": "application/vnd.oasis.opendocument.spreadsheet",
-    "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "zip": "application/zip",
-}
+# The standard media types by extension, without what a machine may add to them.
+MIME_TYPES = {ext.removeprefix("."): mime for ext, mime in mimetypes.MimeTypes().types_map[True].items()}

@@ -20,7 +20,6 @@ UNIT_HINTS = [("usd", "usd"), ("eur", "eur"), ("gbp", "gbp"), ("pct", "%"), ("%"
 PROSE_FIGURE = (r"[€$£]\s?\p{Nd}[\p{Nd}.,]*\s?(?:bn|[kKmMbB])?"
                 r"|(?<![\p{L}\p{N}_])\p{Nd}[\p{Nd}.,]*\s?(?:bn|[kKmMbB])(?![\p{L}\p{N}_])(?!-)")
 PROSE_STOP_WORDS = ["the", "a", "an", "for", "of", "in", "on", "was", "is", "our", "this", "that"]
-QUOTE_CHARS = 300
 FACT_COLUMNS = ["file_id", "page_path", "entity", "org_unit", "metric", "metric_raw", "value_raw", "value_num",
                 "unit", "period", "dimension", "source_ref", "extracted_at", "verified", "acl"]
 
@@ -132,7 +131,7 @@ def prose_observations(docs: DataFrame, text: str = "text", keep: list[str] | No
     figure = F.regexp_extract("sentence", PROSE_FIGURE, 0)
     shown = (sentences.withColumns({"_figure": figure}).filter(F.col("_figure") != "")
              .withColumn("_words", words).filter(F.size("_words") >= 2)
-             .withColumn("quote", F.substring(strip(collapse_spaces(F.col("sentence"))), 1, QUOTE_CHARS)))
+             .withColumn("quote", strip(collapse_spaces(F.col("sentence")))))
     label = F.array_join(F.slice("_words", 1, 2), " ")
     return shown.select(
         *keep, text, F.col("no").alias("proposal_no"), F.lower(F.array_join(F.slice("_words", 1, 2), "-")).alias("metric"),

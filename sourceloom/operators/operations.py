@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ERROR_CHARS, TOP_ERRORS, MAX_LIST, MAX_REQUEUE = 120, 5, 20, 20      # fixed values: report limits
+TOP_ERRORS, MAX_LIST, MAX_REQUEUE = 5, 20, 20      # fixed values: report limits
 PROBLEM_KINDS = ["verify_failed", "verify_partial", "manual_review", "error", "duplicate"]
 
 
@@ -24,7 +24,7 @@ def status_counters(state: DataFrame) -> DataFrame:
 
 def top_errors(state: DataFrame, n: int = TOP_ERRORS) -> DataFrame:
     return (state.filter(F.col("status") == "error")
-            .groupBy(F.substring(F.coalesce("error", F.lit("")), 1, ERROR_CHARS).alias("error"))
+            .groupBy(F.coalesce("error", F.lit("")).alias("error"))
             .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "error").limit(n))
 
 

@@ -66,9 +66,9 @@ def render_pages(pages: DataFrame) -> DataFrame:
 
 
 def annotate_field(markdown: Column, name: str, value: Column) -> Column:
-    """Set one frontmatter field of a rendered page (replaced when present)."""
+    """Set one frontmatter field of a rendered page (replaced when present, removed when the value is null)."""
     bare = F.regexp_replace(markdown, rf"(?m)(?<=\n){name}: [^\n]*\n", "")
-    return F.when(value.isNull(), markdown).otherwise(F.concat(
+    return F.when(value.isNull(), bare).otherwise(F.concat(
         F.lit("---\n"), F.regexp_extract(bare, r"(?s)\A---\n(.*?\n)---\n", 1), F.lit(f"{name}: "), value, F.lit("\n---\n"),
         F.regexp_replace(bare, r"(?s)\A---\n.*?\n---\n", "")))
 

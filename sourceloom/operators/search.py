@@ -16,7 +16,7 @@ from sourceloom.functions.periods import query_periods
 from sourceloom.functions.words import RECENCY_WORDS, question_terms, question_tokens, search_tokens, snippet
 
 # Ranking constants.
-POOL, TOP_K = 40, 5
+TOP_K = 5
 SUPERSEDED, FAILED, MANUAL_REVIEW, PARTIAL = 4.0, 2.5, 1.5, 1.2
 ENTITY_MATCH, PERIOD_MATCH, FRESH = 0.5, 0.6, 0.7
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
@@ -35,15 +35,6 @@ def _tokens(df: DataFrame, columns: list[str]) -> Column:
     return F.concat(*parts)
 
 
-MAX_BROADCAST_TERMS = 200_000          # a term is a word: 200 000 of them stay below 20 MB
-
-
-def _wanted(terms: DataFrame) -> DataFrame:
-    """The term list, broadcast only when it has been counted and found small."""
-    small = terms.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS
-    return F.broadcast(terms) if small else terms
-
-
 def build_postings(pages: DataFrame, columns: list[str] | None = None, positions: bool = True,
                    terms: DataFrame | None = None) -> DataFrame:
     """term, path, tf [, positions]; ``terms`` restricts the index to the words of known questions.
@@ -57,7 +48,7 @@ def build_postings(pages: DataFrame, columns: list[str] | None = None, positions
     else:
         tokens = pages.select("path", F.explode(F.concat(*[search_tokens(F.col(c)) for c in cols])).alias("term"))
     if terms is not None:
-        tokens = tokens.join(_wanted(terms.select("term").distinct()), "term", "left_semi")
+        tokens = tokens.join(terms.select("term").distinct(), "term", "left_semi")
     counted = [F.count(F.lit(1)).alias("tf")]
     return tokens.groupBy("term", "path").agg(*counted, *([F.array_sort(F.collect_list("pos")).alias("positions")] if positions else []))
 
@@ -98,10 +89,8 @@ def bm25(questions: DataFrame, postings: DataFrame, lengths: DataFrame) -> DataF
     """question_id, path, bm25 (negative, lower is better) for questions with a ``phrases`` array."""
     asked = questions.select("question_id", F.explode("phrases").alias("phrase"))
     hits = phrase_hits(asked.select("phrase").distinct(), postings)
-    # one-row collection statistics and per-phrase document counts: both bounded by construction
-    totals = lengths.agg(F.count(F.lit(1)).alias("pages"), F.avg("len").alias("avg_len"))
     spread = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
-    idf = spread.join(F.broadcast(totals)).withColumn(
+    idf = spread.withColumns({"pages": lengths.agg(F.count(F.lit(1))).scalar(), "avg_len": lengths.agg(F.avg("len")).scalar()}).withColumn(
         "idf", F.greatest(F.log((F.col("pages") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(MIN_IDF)))
     saturation = F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     weighted = (hits.join(idf.select("phrase", "idf", "avg_len"), "phrase").join(lengths, "path")
@@ -121,20 +110,19 @@ def ask_terms(questions: DataFrame, text: str = "question") -> DataFrame:
         "periods": query_periods(F.col(text)), "wants_fresh": fresh})
 
 
-def rank(questions: DataFrame, scored: DataFrame, pages: DataFrame, k: int = TOP_K, pool: int = POOL,
+def rank(questions: DataFrame, scored: DataFrame, pages: DataFrame, k: int = TOP_K,
          include_superseded: bool = True, audiences: Iterable[str] | None = None) -> DataFrame:
     """Top ``k`` pages per question.
 
-    Scope and supersession filter *before* the candidate pool is cut; every limit has a total order.
+    Scope and supersession filter first; all pages in scope are ranked with their factors, and the one limit
+    has a total order.
     ``questions`` comes from :func:`ask_terms`.
     """
     meta = pages.filter(visible(F.col("acl"), audiences))
     if not include_superseded:
         meta = meta.filter(F.coalesce("superseded_by", F.lit("")) == "")
     meta = meta.select("path", "entity", "superseded_by", "verification", "quality", "as_of", "period")
-    by_bm25 = W.partitionBy("question_id").orderBy("bm25", "path")
-    candidates = (scored.join(meta, "path").withColumn("_r", F.row_number().over(by_bm25))
-                  .filter(F.col("_r") <= pool).drop("_r"))
+    candidates = scored.join(meta, "path")
     q = questions.select("question_id", "tokens", "periods", "wants_fresh")
     factored = candidates.join(q, "question_id").withColumn("adjustments", _adjustments())
     factor = F.aggregate("adjustments", F.lit(1.0), lambda acc, a: acc * a["factor"])

@@ -9,8 +9,6 @@ from sourceloom.functions.fold import WS, plain_norm
 from sourceloom.functions.lets import let
 from sourceloom.functions.numbers import NUMBER, WORD
 
-MAX_LISTED = 12      # fixed value: figures listed per page
-MAX_SPANS = 24       # fixed value: figures whose source span is kept
 
 _SHADOW_WORD = r"\x{e030}-\x{e039}\x{e041}-\x{e05a}\x{e061}-\x{e07a}"
 _D2 = r"[\p{Nd}\x{e030}-\x{e039}]"
@@ -101,35 +99,75 @@ def verdict_rank(verdict: Column) -> Column:
     return F.when(verdict == "verified", 0).when(verdict == "partial", 1).otherwise(2)
 
 
+def shown_figures(text: Column) -> Column:
+    """array<struct<display, keys>>: distinct figures of a text in order of first appearance, with their values."""
+    tokens = F.filter(numbers.figure_tokens(text), lambda t: ~numbers.is_weak(t))
+    return F.transform(F.array_distinct(F.transform(tokens, numbers.display_of)),
+                       lambda d: F.struct(d.alias("display"), numbers.token_keys(d).alias("keys")))
+
+
+def _lines_with_figures(text: Column) -> Column:
+    """array<string>: lines with a figure, period spans shadowed."""
+    marked = periods.scan_periods(_join_wrapped_suffix(F.coalesce(text, F.lit(""))))["text"]
+    return F.filter(F.split(marked, "\n"), lambda line: line.rlike(rf"[\p{{Nd}}]|{periods.SHADOWED}"))
+
+
+def asserted_figures(text: Column) -> Column:
+    """array<struct<display, keys, signals>>: figures on lines that state a period."""
+    def of_line(line: Column) -> Column:
+        tokens = F.filter(F.regexp_extract_all(line, F.lit(_MARKED_FIGURE), F.lit(0)),
+                          lambda t: ~t.rlike(periods.SHADOWED) & ~numbers.is_weak(t))
+        return let(periods.line_signals(line), lambda own: F.transform(
+            F.when(F.size(own) > 0, F.array_distinct(tokens)).otherwise(F.array().cast("array<string>")),
+            lambda t: F.struct(numbers.display_of(t).alias("display"), numbers.token_keys(t).alias("keys"), own.alias("signals"))))
+    return F.flatten(F.transform(_lines_with_figures(text), of_line))
+
+
+def _none(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
 def verify_pages(pages: DataFrame, keys: list[str], body: str = "body", source: str = "source",
                  context: str = "context") -> DataFrame:
-    """Verdict per page.  Text never leaves its row: only figures, values and periods shuffle."""
+    """Verdict per page, with every figure that fails.
+
+    Everything a verdict needs stands in the page's own row, so text and figures never leave it: one scan, no shuffle.
+    Each step is a column of its own that later steps read more than once, so none is evaluated inside a lambda.
+    """
     hay = F.concat(F.coalesce(F.col(source), F.lit("")), F.lit("\n"), F.coalesce(F.col(context), F.lit("")))
-    shown = figures(pages, keys, F.col(body))
-    judged = figure_presence(shown, evidence_values(pages, keys, hay), keys)
-    drifting = unanchored_figures(pages, keys, F.col(body), hay).withColumn("drift", F.lit(True))
-    joined = judged.join(drifting, [*keys, "display"], "left").withColumn("drift", F.coalesce("drift", F.lit(False)))
-    listed = F.struct("pos", "display")
-    rolled = joined.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("numbers_total"),
-        F.count_if(~F.col("present")).alias("n_unverified"),
-        F.count_if(F.col("present") & F.col("drift")).alias("n_unanchored"),
-        F.collect_list(F.when(~F.col("present"), listed)).alias("_missing"),
-        F.collect_list(F.when(F.col("present") & F.col("drift"), listed)).alias("_drift"))
-
-    def names(c: str) -> Column:
-        return F.transform(F.slice(F.array_sort(c), 1, MAX_LISTED), lambda s: s["display"])
-
-    empty = F.array().cast("array<string>")
-    return (pages.select(*keys).join(rolled, keys, "left")
-            .select(*keys,
-                    verdict_of(F.coalesce(F.col("n_unverified") + F.col("n_unanchored"), F.lit(0)),
-                               F.coalesce("numbers_total", F.lit(0))).alias("verdict"),
-                    F.coalesce("numbers_total", F.lit(0)).alias("numbers_total"),
-                    F.coalesce("n_unverified", F.lit(0)).alias("n_unverified"),
-                    F.coalesce("n_unanchored", F.lit(0)).alias("n_unanchored"),
-                    F.coalesce(names("_missing"), empty).alias("numbers_unverified"),
-                    F.coalesce(names("_drift"), empty).alias("numbers_unanchored")))
+    rows = pages.select(*keys, F.col(body).alias("_body"), hay.alias("_hay"))
+    rows = rows.withColumns({"_shown": shown_figures(F.col("_body")), "_pool": numbers.evidence_keys(F.col("_hay")),
+                             "_asserted": asserted_figures(F.col("_body"))})
+    rows = rows.withColumn("_wanted", F.array_distinct(F.flatten(F.transform("_asserted", lambda x: x["keys"]))))
+
+    # source lines that hold an asserted value, then the periods they state
+    def line_keys(line: Column) -> Column:
+        return F.struct(numbers.evidence_keys(periods.unshadow(line)).alias("keys"), line.alias("line"))
+
+    held = F.filter(F.transform(_lines_with_figures(F.col("_hay")), line_keys), lambda x: F.arrays_overlap(x["keys"], F.col("_wanted")))
+    rows = rows.withColumn("_held", F.when(F.size("_wanted") > 0, held))
+    rows = rows.withColumn("_lines", F.transform("_held", lambda x: F.struct(
+        x["keys"].alias("keys"), periods.line_signals(x["line"]).alias("signals"))))
+
+    # a figure drifts when all of its source lines carry a contradicting period
+    def contradicted(figure: Column) -> Column:
+        own = F.filter("_lines", lambda line: F.arrays_overlap(line["keys"], figure["keys"]))
+        return let(own, lambda lines: (F.size(lines) > 0) & ~F.exists(
+            lines, lambda line: (F.size(line["signals"]) == 0) | periods.any_compatible(figure["signals"], line["signals"])))
+
+    drifting = F.transform(F.filter("_asserted", contradicted), lambda x: x["display"])
+    rows = rows.withColumn("_drifting", F.when(F.size("_lines") > 0, F.array_distinct(drifting)).otherwise(_none("string")))
+    known = F.size("_pool") > 0
+    backed = F.filter("_shown", lambda x: F.arrays_overlap(x["keys"], F.col("_pool")))
+    rows = rows.withColumn("_backed", F.when(known, F.transform(backed, lambda x: x["display"])).otherwise(_none("string")))
+    rows = rows.select(*keys, F.transform("_shown", lambda x: x["display"]).alias("_shown"), "_backed", "_drifting")
+    rows = rows.select(*keys, F.size("_shown").alias("_total"), F.array_except("_shown", "_backed").alias("_missing"),
+                       F.array_intersect("_backed", "_drifting").alias("_drift"))
+    missing, drift = F.size("_missing"), F.size("_drift")
+    return rows.select(*keys, verdict_of(missing + drift, F.col("_total")).alias("verdict"),
+                       F.col("_total").cast("bigint").alias("numbers_total"), missing.cast("bigint").alias("n_unverified"),
+                       drift.cast("bigint").alias("n_unanchored"), F.col("_missing").alias("numbers_unverified"),
+                       F.col("_drift").alias("numbers_unanchored"))
 
 
 def figure_spans(df: DataFrame, keys: list[str], body: Column, hay: Column) -> DataFrame:
@@ -169,8 +207,8 @@ def figure_spans(df: DataFrame, keys: list[str], body: Column, hay: Column) -> D
 def missing_mentions(df: DataFrame, names: Column, source: Column, context: Column) -> DataFrame:
     """Advisory: mentions whose name the source (or its file name and path) never states."""
     hay = plain_norm(F.concat_ws(" ", source, context))
-    return df.withColumn("mentions_unverified", let(hay, lambda h: F.slice(F.filter(
-        names, lambda n: ~h.contains(plain_norm(n))), 1, MAX_LISTED)))
+    return df.withColumn("mentions_unverified", let(hay, lambda h: F.filter(
+        names, lambda n: ~h.contains(plain_norm(n)))))
 
 
 def keep_better(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:

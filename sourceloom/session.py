@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,8 +21,6 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # collected lists per key: stay hash-based beyond the default 128 keys per task
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.maxPlanStringLength": "100000",
 }
@@ -53,7 +52,7 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+    """The rows, stored in the folder the cluster names in ``spark.checkpoint.dir`` and read back.
 
     Only when no folder is configured (unit tests on one machine) is one created here.
     """
@@ -66,4 +65,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(os.path.join(tempfile.mkdtemp(prefix="sourceloom-"), "checkpoints"))
     elif not context.getCheckpointDir():
         context.setCheckpointDir(configured)
-    return df.checkpoint(eager=True)
+    # a written table runs the plan once (an eager checkpoint runs it twice) and is columnar
+    path = f"{context.getCheckpointDir().rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

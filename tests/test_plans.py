@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sourceloom.judges.offline import backend
 from sourceloom.operators import changes, chat, search
 from sourceloom.operators.pages import parse_pages
-from sourceloom.plans.answers import Knowledge, ask
+from sourceloom.plans.answers import Knowledge, answer_questions, ask
 from sourceloom.plans.graph import apply_merge, build_graph
 from sourceloom.plans.ingest import Settings, run_pass
 from sourceloom.sinks.tables import is_fresh, latest, provenance
@@ -60,13 +60,25 @@ def test_ingest_pass_end_to_end(spark, tmp_path):
     assert now == {"a": "deleted", "b": "processed", "c": "processed", "k": "processed", "n": "processed"}
     assert again["facts"].filter("file_id = 'a'").count() == 0 and again["facts"].filter("file_id = 'k'").count() == 6
     assert latest(spark, cfg.root, "state").count() == 5
+    # the page table holds every pass's pages, with the marks of the present state
+    kept = {r["file_id"]: r["markdown"] for r in again["pages"].collect()}
+    assert kept.keys() == {"b", "c", "k", "n"} and "7000 units" in kept["n"]
+    marked = {r["file_id"]: r["markdown"] for r in pages.collect()}
+    assert 'superseded_by: "b"' in marked["a"] and 'supersedes: "a"' in marked["b"] and 'supersedes: "a"' not in kept["b"]
+    with pytest.raises(changes.MassDeletion):
+        run_pass(spark, spark.createDataFrame([], DOCS), None, cfg)
 
     # serve it
     index = parse_pages(pages.select(F.col("page_path").alias("path"), F.col("markdown").alias("text"), F.lit(1.0).alias("mtime"), F.lit(1).alias("size")))
     k = Knowledge(index, out["facts"], search.build_postings(index), search.page_lengths(index))
     reply = ask(k, "What is the arr-usd for globex?")
-    assert "512000" in reply["answer"] and reply["verification"]["verdict"] == "verified" and not reply["refused"]
+    assert "512000" in reply["answer"] and reply["verdict"] == "verified" and not reply["refused"]
     assert ask(k, "What is the arr-usd for zenith?")["refused"]
+    many = spark.createDataFrame([(1, "What is the arr-usd for globex in 2026-01?"), (2, "board minutes"), (3, "xyzzy"), (4, "arr-usd")],
+                                 "question_id int, question string")
+    answers = {r["question_id"]: r for r in answer_questions(many, k).collect()}
+    assert "480000" in answers[1]["answer"] and answers[1]["confidence"] == "high" and answers[2]["confidence"] == "medium"
+    assert answers[3]["refused"] and "xyzzy" in answers[3]["reason"] and "512000" in answers[4]["answer"]
     scoped = Knowledge(index, out["facts"], k.postings, k.lengths, audiences={"all"})
     assert scoped.page(state["n"]["path"]) is None and k.page(state["n"]["path"]) is not None
 

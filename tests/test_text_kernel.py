@@ -62,3 +62,25 @@ def test_names(column):
         "globex", "acme", "co", "globex-industries"]
     assert column(words.version_stem, ["a/Report v2 FINAL (1).docx"]) == ["report"]
     assert column(words.marker_score, ["x FINAL.md", "x draft v3.md", "x copy.md", "x.md"]) == [100, -97, -1, 0]
+
+
+def test_cells_compare_by_compatibility(column):
+    from sourceloom.functions.fold import cell_norm
+    pairs = [("ﬁnal", "final"), ("½ cup", "1⁄2 cup"), ("Café", "café"), ("ＡＢＣ", "abc"),
+             ("ế", "ế"), ("㎏", "kg"), ("plain", "plain")]
+    got = column(cell_norm, [x for pair in pairs for x in pair])
+    assert got[::2] == got[1::2]
+
+
+def test_private_use_characters_do_not_read_as_periods(spark):
+    from sourceloom.operators.verification import verify_pages
+    rows = [(i, "ARR was 512000 in 2026-03.", f"ARR 512000 in 2026-01{sign}.", "") for i, sign in enumerate(["", "", "", ""])]
+    out = verify_pages(spark.createDataFrame(rows, "k int, body string, source string, context string"), ["k"]).collect()
+    assert [r.numbers_unanchored for r in out] == [["512000"]] * 4
+
+
+def test_all_failing_figures_are_listed(spark):
+    from sourceloom.operators.verification import verify_pages
+    body = " ".join(f"{1000 + 37 * i}" for i in range(40))
+    r = verify_pages(spark.createDataFrame([(1, body, "none", "")], "k int, body string, source string, context string"), ["k"]).first()
+    assert len(r.numbers_unverified) == 40 == r.n_unverified
