@@ -27,6 +27,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, whatever extra columns it carries."""
+    taken = {c.lower() for c in df.columns}
+    names = []
+    for name in wanted:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        names.append(name)
+    return names
+
+
 def text_of(docs: DataFrame, column: str = "text") -> Column:
     """Null text counts as empty."""
     return F.coalesce(docs[column], F.lit(""))

@@ -19,16 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceloom.llm.common import batches, id_of, mixed, rolled, row_key, store, text_of
+from sourceloom.llm.common import batches, free_names, id_of, mixed, rolled, row_key, store, text_of
 from sourceloom.llm.repeats import SENT, Places, later, repeated, sender
 
 RUN = 2
 MIN_CHARS = 40
 LONG_CHARS = 120
-#: A window's tag tells a run of lines from a single long line.
 _ENDS = " \t\n\x0b\x0c\r"
 
 
@@ -148,36 +148,27 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def without_repeated(docs: DataFrame, run: int = RUN, min_chars: int = MIN_CHARS, long_chars: int = LONG_CHARS) -> DataFrame:
     """``docs`` with repeated runs deleted and n_chars restated; a text that lost every line goes."""
-    marks = repeated_runs(docs, run, min_chars, long_chars)
-    rows = docs.withColumn("_key", row_key(docs)).join(marks.select(F.col("rid").alias("_rid"), F.col("places").alias("_places")),
-                                                       F.col("_key") == F.col("_rid"), "left")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    key, rid, marked = free_names(docs, "row_key", "marked_rid", "marked_places")
+    marks = repeated_runs(docs, run, min_chars, long_chars).withColumnsRenamed({"rid": rid, "places": marked})
+    rows = docs.withColumn(key, row_key(docs)).join(marks, F.col(key) == F.col(rid), "left").select(*docs.columns, marked)
+    delete = _delete(run)
 
     def edit(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = _delete(run)
         for part in parts:
-            text = part.column(part.schema.get_field_index("text"))
-            places = part.column(part.schema.get_field_index("_places"))
-            plain = pa.array(["" if t is None else t for t in text.to_pylist()], pa.string())
+            columns = dict(zip(part.schema.names, part.columns, strict=True))
+            places, old = columns.pop(marked), columns["text"]
+            plain = pa.array(["" if t is None else t for t in old.to_pylist()], pa.string())
             inner = pa.RecordBatch.from_arrays([pa.nulls(part.num_rows, pa.int64()), plain, places], ["rid", "text", "places"])
-            for done in cut(iter([inner])):
-                kept, total, gone = (done.column(done.schema.get_field_index(c)) for c in ("kept", "n_lines", "n_removed"))
-                changed = gone.to_numpy() > 0
-                columns, names = [], [f for f in part.schema.names if f not in ("_key", "_rid", "_places")]
-                for name in names:
-                    column = part.column(part.schema.get_field_index(name))
-                    if name == "text":
-                        column = pa.array([k if c else t for k, c, t in zip(kept.to_pylist(), changed, text.to_pylist(), strict=True)],
-                                          pa.string())
-                    elif name == "n_chars":
-                        column = pa.array([len(k) if c else old for k, c, old in zip(kept.to_pylist(), changed, column.to_pylist(), strict=True)],
-                                          column.type)
-                    columns.append(column)
-                whole = pa.RecordBatch.from_arrays(columns, names)
-                stays = pa.array(gone.to_numpy() < total.to_numpy())
-                yield whole.filter(stays)
-
-    return rows.mapInArrow(edit, fields)
+            for done in delete(iter([inner])):
+                gone, total = done["n_removed"].to_numpy(), done["n_lines"].to_numpy()
+                changed = pa.array(gone > 0)
+                columns["text"] = pc.if_else(changed, done["kept"], old)
+                if "n_chars" in columns:
+                    size = pc.utf8_length(done["kept"]).cast(columns["n_chars"].type)
+                    columns["n_chars"] = pc.if_else(changed, size, columns["n_chars"])
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns)).filter(pa.array(gone < total))
+
+    return rows.mapInArrow(edit, docs.schema)
 
 
 #: DuckDB: the result of digest() where doc_id is unique.

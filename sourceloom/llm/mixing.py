@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sourceloom.llm.common import row_key, store, text_of
+from sourceloom.llm.common import free_names, row_key, store, text_of
 
 SEED = 17
 STEP = 16.0
@@ -68,26 +68,32 @@ def copies(mean: Column, key: Column, seed: int) -> Column:
                        lambda total, part: total + poisson(mean / parts, uniform(key, seed, part)))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = 1.0, seed: int = SEED) -> DataFrame:
-    """The columns of ``docs`` and ``_copy`` (1, 2, ...), dealt to partitions and ordered there by a random key."""
-    of_source = rates(docs, weights, default_weight).select(F.col("source_key").alias("_source"), F.col("rate").alias("_rate"))
-    source = F.coalesce(F.concat(F.lit("="), docs["source"].cast("string")), F.lit("null"))
-    rows = docs.withColumns({"_own": source, "_key": row_key(docs)})
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = 1.0, seed: int = SEED,
+        copy: str | None = None) -> DataFrame:
+    """The rows of ``docs`` as often as they are to occur, dealt to partitions and ordered there by a random key.
+
+    copy: name of a further column that numbers the occurrences of a row from 1.
+    """
+    own, key, source, rate, n, nth, place, deal, salt = free_names(
+        docs, "own_source", "row_key", "rated_source", "rate", "occurrences", "nth", "place", "deal", "salt")
+    of_source = rates(docs, weights, default_weight).select(F.col("source_key").alias(source), F.col("rate").alias(rate))
+    rows = docs.withColumns({own: F.coalesce(F.concat(F.lit("="), docs["source"].cast("string")), F.lit("null")), key: row_key(docs)})
     if of_source.count() <= MOST_SOURCES:
-        joined = rows.join(F.broadcast(of_source), F.col("_own") == F.col("_source"))
+        joined = rows.join(F.broadcast(of_source), F.col(own) == F.col(source))
     else:
-        salted = of_source.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("_deal", F.pmod(F.hash("_key"), F.lit(SALTS))).join(
-            salted, (F.col("_own") == F.col("_source")) & (F.col("_deal") == F.col("_salt")))
-    repeated = joined.withColumn("_n", copies(F.col("_rate"), F.col("_key"), seed)).filter("_n > 0").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    dealt = repeated.withColumn("_place", F.xxhash64(F.lit(seed), "_key", "_copy"))
-    return dealt.repartition("_place").sortWithinPartitions("_place", "_key", "_copy").select(*docs.columns, "_copy")
+        salted = of_source.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn(deal, F.pmod(F.hash(key), F.lit(SALTS))).join(
+            salted, (F.col(own) == F.col(source)) & (F.col(deal) == F.col(salt)))
+    repeated = joined.withColumn(n, copies(F.col(rate), F.col(key), seed)).filter(F.col(n) > 0).withColumn(
+        nth, F.explode(F.sequence(F.lit(1), F.col(n))))
+    dealt = repeated.withColumn(place, F.xxhash64(F.lit(seed), key, nth))
+    return dealt.repartition(place).sortWithinPartitions(place, key, nth).select(
+        *docs.columns, *([F.col(nth).alias(copy)] if copy else []))
 
 
 def digest(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = 1.0) -> DataFrame:
     """The mixed corpus: doc_id, lang, source, n_chars, text, copy."""
-    return mix(docs, weights, default_weight).select("doc_id", "lang", "source", "n_chars", "text", F.col("_copy").alias("copy"))
+    return mix(docs.select("doc_id", "lang", "source", "n_chars", "text"), weights, default_weight, copy="copy")
 
 
 #: DuckDB: the result of digest() with equal weights.

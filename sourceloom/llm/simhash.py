@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceloom.llm.common import batches, id_of, row_key, store, text_of
+from sourceloom.llm.common import batches, free_names, id_of, row_key, store, text_of
 from sourceloom.llm.components import components
 
 SEED = 42
@@ -133,12 +133,12 @@ def representatives(docs: DataFrame, size: int = 3) -> DataFrame:
     The row with the smallest doc_id stays.  Of rows that repeat that doc_id, or of equal texts without one,
     one stays.
     """
+    key, rid, copies = free_names(docs, "row_key", "kept_rid", "copies")
     found = near_duplicates(docs, size)
-    kept = store(found.filter("rid = component").groupBy("rid").agg(F.count("*").alias("copies"))
-                 .select(F.col("rid").alias("_rid"), F.col("copies").alias("_copies")))
-    rows = docs.withColumn("_key", row_key(docs)).join(kept, F.col("_key") == F.col("_rid"))
-    single = rows.filter("_copies = 1").select(*[docs[c] for c in docs.columns])
-    if kept.filter("_copies > 1").isEmpty():
+    kept = store(found.filter("rid = component").groupBy("rid").agg(F.count("*").alias(copies)).withColumnRenamed("rid", rid))
+    rows = docs.withColumn(key, row_key(docs)).join(kept, F.col(key) == F.col(rid))
+    single = rows.filter(F.col(copies) == 1).select(*docs.columns)
+    if kept.filter(F.col(copies) > 1).isEmpty():
         return single
-    repeated = rows.filter("_copies > 1").dropDuplicates(["_key"]).select(*docs.columns)
+    repeated = rows.filter(F.col(copies) > 1).dropDuplicates([key]).select(*docs.columns)
     return single.unionByName(repeated)

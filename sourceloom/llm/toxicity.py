@@ -200,13 +200,12 @@ def sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Coefficients by Newton steps; x has a leading column of ones, which is not shrunk."""
-    beta = np.zeros(x.shape[1])
-    shrink = np.full(x.shape[1], ridge)
-    shrink[0] = 1e-3
+    """Coefficients by Newton steps, drawn towards DEFAULT where few texts tell; x has a leading column of ones."""
+    prior = np.array(DEFAULT)
+    beta, shrink = prior.copy(), np.full(x.shape[1], ridge)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -60, 60)))
-        gradient = x.T @ (y - p) - shrink * beta
+        gradient = x.T @ (y - p) - shrink * (beta - prior)
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(shrink), gradient)
         beta += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:

@@ -17,16 +17,16 @@ def lower(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
 
 
-def simhash(text):
+def simhash(text, size=3):
     w = words(lower(text))
-    shingles = [" ".join(w[i:i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    shingles = [" ".join(w[i:i + size]) for i in range(len(w) - size + 1)] or ([" ".join(w)] if w else [])
     hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def near_components(rows):
+def near_components(rows, size=3):
     """rows: (doc_id, text) -> {doc_id: (hex, component)}"""
-    fps = {i: simhash(t) for i, t in rows}
+    fps = {i: simhash(t, size) for i, t in rows}
     by_fp = {}
     for i, f in fps.items():
         by_fp.setdefault(f, []).append(i)

@@ -32,7 +32,7 @@ def test_exact_dedup(make_docs, sample_docs):
 
 
 def test_exact_dedup_recurses_until_buckets_fit(make_docs, sample_docs):
-    rows = sample_docs[:120]
+    rows = sample_docs[:40]
     found = exact.exact_groups(make_docs(rows), block_bytes=5_000, table_bytes=3_000)
     got = {r.rid: (r.keep, r.group_size, r.kept, r.sha) for r in found.collect()}
     assert got == brute_exact(rows)
@@ -139,18 +139,22 @@ def test_mixing_weights_and_odd_rows(make_docs):
 
 # ---- fingerprints
 
+COMMON = set(spots.COMMON)
+
+
 def brute_set(text):
     own = [w for w in re.split(r"[^\w]+|_+", text.lower()) if w]
-    content = [w for w in own if w not in spots.COMMON]
+    content = [w for w in own if w not in COMMON]
     out, before = set(), 0
     for i, w in enumerate(own):
-        if w in spots.COMMON:
+        if w in COMMON:
             chain = content[before:before + spots.CHAIN]
             if len(chain) == spots.CHAIN:
                 out.add((w, *chain))
         else:
             before += 1
-    count = sum(1 for i, w in enumerate(own) if w in spots.COMMON and sum(x not in spots.COMMON for x in own[i:]) >= spots.CHAIN)
+    left = np.cumsum([w not in COMMON for w in own][::-1])[::-1] if own else []
+    count = sum(w in COMMON and left[i] >= spots.CHAIN for i, w in enumerate(own))
     if not own:
         return {text}
     return out | set(own) if count < spots.FEW else out
