@@ -9,7 +9,6 @@ from sourceloom.functions.words import content_tokens, split_claims, strip_page_
 
 # Window geometry and the support threshold of the offline judge.
 WINDOW_CHARS, WINDOW_STEP, SUPPORT = 1200, 300, 0.7
-MAX_PARAGRAPHS = 8
 
 
 def window_starts(source: Column) -> Column:
@@ -21,28 +20,35 @@ def anchor_claims(pages: DataFrame, keys: list[str], body: str = "body", source:
                   max_claims: int | None = None) -> DataFrame:
     """Per claim: the earliest source window holding the largest share of its content words.
 
-    All work stays in the page's own row.  The window vocabularies are built once per page and
-    shared by its claims, so the cost is claims x source length, without a shuffle.
+    All work stays in the page's own row.  The window vocabularies are built once per page, cut down to words of
+    its claims and read by all of them in place: they are neither shuffled nor copied per claim.
     """
-    windows = F.transform(window_starts(F.col(source)), lambda s: F.struct(
-        s.alias("start"), content_tokens(F.substring(F.col(source), s + 1, F.lit(WINDOW_CHARS))).alias("words")))
-    claims = split_claims(strip_page_chrome(F.col(body)), max_claims=max_claims)
-    rows = (pages.withColumn(source, F.coalesce(source, F.lit("")))
-            .select(*keys, windows.alias("windows"), F.length(source).alias("source_len"), claims.alias("claims"))
-            .select(*keys, "windows", "source_len", F.posexplode("claims").alias("claim_no", "claim"))
-            .withColumn("want", content_tokens(F.col("claim"))))
-
-    def best(ws: Column) -> Column:
-        return F.aggregate(ws, F.struct(F.lit(0).alias("start"), F.lit(0).alias("held")), lambda acc, w: let(
-            F.size(F.array_intersect(F.col("want"), w["words"])),
+    def place(windows: Column, want: Column) -> Column:
+        none = F.struct(F.lit(0).alias("start"), F.lit(0).alias("held"))
+        return F.aggregate(windows, none, lambda acc, w: let(
+            F.size(F.array_intersect(want, w["words"])),
             lambda n: F.when(n > acc["held"], F.struct(w["start"].alias("start"), n.alias("held"))).otherwise(acc)))
 
-    total = F.size("want")
-    score = F.when((total == 0) | (F.col("source_len") == 0), F.lit(0.0)).otherwise(F.col("b.held") / total)
-    return (rows.withColumn("b", best(F.col("windows")))
-            .select(*keys, "claim_no", "claim", F.when(score > 0, F.col("b.start")).otherwise(0).alias("start"),
-                    F.least(F.when(score > 0, F.col("b.start")).otherwise(0) + WINDOW_CHARS, "source_len").alias("end"),
-                    score.alias("score"), total.alias("words")))
+    def judged(claims: Column, text: Column) -> Column:
+        spoken = F.array_distinct(F.flatten(F.transform(claims, lambda c: c["want"])))
+
+        def over(vocabulary: Column) -> Column:
+            windows = F.transform(window_starts(text), lambda s: F.struct(s.alias("start"), F.array_intersect(
+                content_tokens(F.substring(text, s + 1, F.lit(WINDOW_CHARS))), vocabulary).alias("words")))
+            return let(windows, lambda ws: F.transform(claims, lambda c: F.struct(
+                c["claim"].alias("claim"), F.size(c["want"]).alias("words"), place(ws, c["want"]).alias("b"))))
+        return let(spoken, over)
+
+    split = F.transform(split_claims(strip_page_chrome(F.col(body)), max_claims=max_claims),
+                        lambda c: F.struct(c.alias("claim"), content_tokens(c).alias("want")))
+    text = F.coalesce(source, F.lit(""))
+    rows = (pages.select(*keys, F.length(text).alias("source_len"), let(split, lambda c: judged(c, text)).alias("claims"))
+            .select(*keys, "source_len", F.posexplode("claims").alias("claim_no", "c")))
+    total, start = F.col("c.words"), F.col("c.b.start")
+    score = F.when((total == 0) | (F.col("source_len") == 0), F.lit(0.0)).otherwise(F.col("c.b.held") / total)
+    return rows.select(*keys, "claim_no", F.col("c.claim").alias("claim"), F.when(score > 0, start).otherwise(0).alias("start"),
+                       F.least(F.when(score > 0, start).otherwise(0) + WINDOW_CHARS, "source_len").alias("end"),
+                       score.alias("score"), total.alias("words"))
 
 
 def judge_claims(anchored: DataFrame) -> DataFrame:

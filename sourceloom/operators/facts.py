@@ -243,11 +243,10 @@ def flag_superseded(rows: DataFrame, superseded: DataFrame) -> DataFrame:
 def current_truth(rows: DataFrame, superseded: DataFrame, keys: list[str]) -> DataFrame:
     """Per group of ``keys``: the current rows, or the flagged stale ones when nothing is current."""
     flagged = flag_superseded(rows, superseded)
-    current = flagged.filter(~F.col("from_superseded_page"))
-    stale = flagged.filter("from_superseded_page")
-    alive = current.select(*keys).distinct()
-    same = [stale[k].eqNullSafe(alive[k]) for k in keys]
-    return current.unionByName(stale.join(alive, same, "left_anti"))
+    # one flag per group, combined on the map side, then one join
+    groups = flagged.groupBy(*keys).agg(F.min("from_superseded_page").alias("_all_stale")).withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [flagged[k].eqNullSafe(groups[f"_{k}"]) for k in keys]
+    return flagged.join(groups, same).filter(~F.col("from_superseded_page") | F.col("_all_stale")).select(*flagged.columns)
 
 
 def latest_rows(rows: DataFrame, keys: list[str]) -> DataFrame:

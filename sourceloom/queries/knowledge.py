@@ -4,12 +4,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sourceloom.functions import paths
+from sourceloom.functions.access import label_ok
 from sourceloom.functions.lets import let
 from sourceloom.functions.similarity import text_similarity, word_pairs
 from sourceloom.functions.words import entity_key, marker_score, version_stem
 from sourceloom.operators import changes, chat, dossiers, graph, operations, versions
 from sourceloom.queries.curation import manifest
 from sourceloom.queries.registry import query
+from sourceloom.sources.connectors import first_field, parent_ids
 from sourceloom.queries.views import FACTS_SQL, FILES_SQL, fact_store, files, superseded_pages, table
 
 # --- versions ---------------------------------------------------------------------------------------
@@ -488,3 +490,45 @@ def pass_statistics(spark, sf):
     n = F.substring("file_id", 2, 20).cast("bigint")
     return operations.pass_statistics(ops_state(spark, sf).withColumns(
         {"verdict": F.col("verification"), "facts_kept": n % 5, "facts_rejected": n % 2, "tokens": n}))
+
+
+# --- small parts of connectors and access ------------------------------------------------------------------
+@query("labels_valid", """WITH l AS (SELECT doc_id, source || CASE doc_id % 5 WHEN 0 THEN ',x' WHEN 1 THEN ' ' WHEN 2 THEN '' ELSE '-' || lang END AS label FROM documents
+  UNION ALL SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE '  ' END FROM labels)
+SELECT doc_id, label, label IS NOT NULL AND NOT contains(label, ',') AND trim(label) <> '' AND trim(label) = label AS ok FROM l""")
+def labels_valid(spark, sf):
+    k = F.col("doc_id")
+    d = table(spark, sf, "documents").select("doc_id", F.concat("source", F.when(k % 5 == 0, ",x").when(k % 5 == 1, " ").when(k % 5 == 2, "").otherwise(
+        F.concat(F.lit("-"), "lang"))).alias("label"))
+    odd = table(spark, sf, "labels").select("doc_id", F.when(k % 3 == 0, None).when(k % 3 == 1, "").otherwise("  ").alias("label"))
+    return d.unionByName(odd).withColumn("ok", label_ok(F.col("label")))
+
+
+@query("usage_merged", """SELECT e1.user_id, e1.event_type AS kind, n1 + coalesce(n2, 0) AS calls FROM
+  (SELECT user_id, event_type, count(*) AS n1 FROM events WHERE value < 50 GROUP BY ALL) e1
+  LEFT JOIN (SELECT user_id, event_type, count(*) AS n2 FROM events WHERE value >= 50 GROUP BY ALL) e2 USING (user_id, event_type)
+UNION ALL SELECT user_id, event_type, count(*) FROM events WHERE value >= 50 AND (user_id, event_type) NOT IN
+  (SELECT (user_id, event_type) FROM events WHERE value < 50) GROUP BY ALL""")
+def usage_merged(spark, sf):
+    """Usage maps of two halves of the events, summed key by key."""
+    e = table(spark, sf, "events")
+
+    def usage(rows, name):
+        return (rows.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n")).groupBy("user_id")
+                .agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias(name)))
+
+    none = F.create_map().cast("map<string,bigint>")
+    both = usage(e.filter("value < 50"), "a").join(usage(e.filter("value >= 50"), "b"), "user_id", "full_outer")
+    return both.select("user_id", F.explode(operations.merge_usage(F.coalesce("a", none), F.coalesce("b", none))).alias("kind", "calls"))
+
+
+@query("listing_fields", """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_orderpriority WHEN 1 THEN o_orderstatus END AS name,
+  CASE o_orderkey % 4 WHEN 0 THEN [CAST(o_custkey AS VARCHAR)] WHEN 1 THEN [CAST(o_custkey AS VARCHAR), 'r'] WHEN 2 THEN [CAST(o_custkey AS VARCHAR)] ELSE [] END AS parents FROM orders""")
+def listing_fields(spark, sf):
+    """The first non-empty field of several, and parents in all the forms that listings use."""
+    k, who = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    record = (F.when(k % 3 == 0, F.create_map(F.lit("name"), F.lit(""), F.lit("title"), F.col("o_orderpriority")))
+              .when(k % 3 == 1, F.create_map(F.lit("name"), F.col("o_orderstatus"), F.lit("title"), F.lit("x"))).otherwise(F.create_map(F.lit("other"), F.lit("y"))))
+    raw = (F.when(k % 4 == 0, who).when(k % 4 == 1, F.concat(F.lit('["'), who, F.lit('","r"]')))
+           .when(k % 4 == 2, F.concat(F.lit('[{"id":"'), who, F.lit('"},{"x":"y"}]'))))
+    return table(spark, sf, "orders").select("o_orderkey", first_field(record, ["name", "title"]).alias("name"), parent_ids(raw).alias("parents"))
