@@ -49,6 +49,7 @@ def _block(places: list[Places], all_known: bool) -> Iterator[pa.RecordBatch]:
         known = again[group]                                           # every place of a key that repeats here
     else:
         known = later
+    first = first[np.lexsort((pos[first], rid[first]))]      # in the order of rows: neighbours share most bytes in the shuffle
     none = pa.nulls(len(first), pa.list_(pa.int32()))
     yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(tag[first]), pa.array(rid[first]),
                                       pa.array(pos[first]), none], schema=_FIELDS)
