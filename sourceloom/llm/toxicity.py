@@ -70,7 +70,7 @@ _REACH, _BACK = 3, 2
 class Lexicon(dict):
     """The first transducer: word -> (class, weight).  Learned words and beginnings are looked up once per word."""
 
-    LIMIT = 500_000
+    LIMIT = 100_000
 
     def __init__(self, words: dict[str, float], beginnings: dict[str, float]):
         super().__init__()
@@ -195,7 +195,8 @@ def sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
         "fold", fold(F.col("_id"))).filter("fold <> 0")
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(limit)
     rows = docs.select(docs["doc_id"].alias("_doc"), text_of(docs).alias("text"))
-    return rows.join(chosen, F.col("_doc") == F.col("_id")).groupBy("text").agg(
+    # at most ``limit`` ids of a few bytes: small by construction, so no text is shuffled to find them
+    return rows.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).groupBy("text").agg(
         F.max("toxic").alias("toxic"), F.min("fold").alias("fold"))
 
 
