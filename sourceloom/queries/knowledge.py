@@ -94,12 +94,14 @@ def version_links_similar_names(spark, sf):
     return versions.detect_versions(version_docs(spark, sf)).select("old_id", "new_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("copies_similarity", f"""WITH w AS (SELECT doc_id, md5(text) AS h, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents)
-SELECT doc_id, CASE WHEN len(w) >= 2 THEN len(list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])))
-  ELSE len(list_distinct(w)) END AS word_pairs, 1.0::DOUBLE AS self_similarity FROM w""")
+@query("copies_similarity", f"""WITH docs AS (SELECT doc_id AS file_id, text FROM documents), {_PRINTS}
+SELECT pa.file_id AS doc_id, len(pa.pairs) AS word_pairs, round({_SIMILARITY}, 6) AS similarity FROM p pa JOIN p pb ON pb.file_id = pa.file_id + 1""")
 def copies_similarity(spark, sf):
-    return (table(spark, sf, "documents").select("doc_id", word_pairs(F.col("text")).alias("p"))
-            .select("doc_id", F.size("p").cast("bigint").alias("word_pairs"), text_similarity(F.col("p"), F.col("p")).alias("self_similarity")))
+    """Every document against the next one: copies and near copies stand beside unrelated texts."""
+    prints = table(spark, sf, "documents").select("doc_id", F.transform(word_pairs(F.col("text")), lambda p: F.xxhash64(p)).alias("p"))
+    other = prints.select((F.col("doc_id") - 1).alias("doc_id"), F.col("p").alias("q"))
+    return prints.join(other, "doc_id").select("doc_id", F.size("p").cast("bigint").alias("word_pairs"),
+                                               F.round(text_similarity(F.col("p"), F.col("q")), 6).alias("similarity"))
 
 
 # --- dossiers -----------------------------------------------------------------------------------------
