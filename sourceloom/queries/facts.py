@@ -88,7 +88,8 @@ def known_metrics(spark, sf):
     return ops.known_metrics(fact_store(spark, sf), entity="nation-7", audiences={"sales"})
 
 
-@query("match_metric", f"""WITH {FACTS_SQL} SELECT metric FROM (SELECT DISTINCT metric FROM facts) WHERE metric = 'revenue-usd'""")
+@query("match_metric", f"""WITH {FACTS_SQL} SELECT metric FROM (SELECT DISTINCT metric, string_split(metric, '-') AS parts FROM facts)
+  WHERE list_has_all(['what', 'was', 'the', 'revenue', 'in', 'usd', 'order'], parts) ORDER BY len(parts) DESC, metric LIMIT 1""")
 def match_metric(spark, sf):
     return ops.match_metric(ops.known_metrics(fact_store(spark, sf)), ["what", "was", "the", "revenue", "in", "usd", "order"])
 
