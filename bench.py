@@ -13,6 +13,7 @@ HEADLINE = [
     "figures_tokens", "figures_presence", "verify_pages", "claims_windows", "facts_grid", "facts_validate",
     "facts_current_truth", "postings", "search_rerank", "version_links", "dossier_rollup", "entities_canonical",
     "merge_candidates", "inventory_diff", "dedup_reelect", "chat_render", "ops_status",
+    "lineage_paths", "figure_spans", "verify_answers", "bm25_scores",
 ]
 
 
