@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sourceloom.llm import shingles
 from sourceloom.llm.common import batches, free_names, id_of, row_key, store, text_of
 from sourceloom.llm.components import components
 
@@ -127,14 +128,15 @@ def digest(docs: DataFrame) -> DataFrame:
                         id_of(F.col("component")).alias("component_id"))
 
 
-def representatives(docs: DataFrame, size: int = 3) -> DataFrame:
+def representatives(docs: DataFrame, size: int = 3, similarity: float | None = None) -> DataFrame:
     """One row of each near-duplicate group, with all columns of ``docs``.
 
-    The row with the smallest doc_id stays.  Of rows that repeat that doc_id, or of equal texts without one,
+    Groups are those of fingerprints, or with ``similarity`` those of texts whose shingle sets have that
+    Jaccard similarity; fingerprints are too coarse to decide that at any radius.  The row with the smallest doc_id stays.  Of rows that repeat that doc_id, or of equal texts without one,
     one stays.
     """
     key, rid, copies = free_names(docs, "row_key", "kept_rid", "copies")
-    found = near_duplicates(docs, size)
+    found = near_duplicates(docs, size) if similarity is None else shingles.near_duplicates(docs, size, similarity)
     kept = store(found.filter("rid = component").groupBy("rid").agg(F.count("*").alias(copies)).withColumnRenamed("rid", rid))
     rows = docs.withColumn(key, row_key(docs)).join(kept, F.col(key) == F.col(rid))
     single = rows.filter(F.col(copies) == 1).select(*docs.columns)
