@@ -19,6 +19,7 @@ coefficients score; a row without doc_id is scored and never held out; an empty
 """
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import zlib
@@ -97,33 +98,35 @@ class Lexicon(dict):
 
 
 def _grammar() -> dict[tuple, tuple]:
-    """The second transducer: (state, class) -> (state, match or None, whether the match before is aimed).
+    """The second transducer: (state, class) -> (state, match or None, whether the match before is aimed, match of the
+    threat that waits or None).
 
     State: words left in which a negation and a target reach on, words left in which a target reaches back,
-    and whether the clause reports speech.
+    whether the clause reports speech, words left in which a threat waits for its target, and the kind of
+    match that it becomes then.
     """
     steps = {}
-    for negation in range(_REACH + 1):
-        for target in range(_REACH + 1):
-            for back in range(_BACK + 1):
-                for reports in (False, True):
-                    state = (negation, target, back, reports)
-                    n, t, b = max(negation - 1, 0), max(target - 1, 0), max(back - 1, 0)
-                    kind = REPORTED if reports else NEGATED if negation else AIMED if target else PLAIN
-                    # A threat needs somebody it is aimed at.
-                    threat = kind if target else None
-                    steps[state, OTHER] = ((n, t, b, reports), None, False)
-                    steps[state, INSULT] = ((n, t, _BACK if kind == PLAIN else 0, reports), kind, False)
-                    steps[state, THREAT] = ((n, t, 0, reports), threat, False)
-                    steps[state, TARGET] = ((n, _REACH, 0, reports), None, back > 0)
-                    steps[state, NEGATION] = ((_REACH, t, b, reports), None, False)
-                    steps[state, REPORT] = ((n, t, b, True), None, False)
-                    steps[state, END] = ((0, 0, 0, False), None, False)
+    waits = [(0, PLAIN), *((left, kind) for left in range(1, _REACH + 1) for kind in (AIMED, NEGATED, REPORTED))]
+    for negation, target, back, reports, (wait, waiting) in itertools.product(
+            range(_REACH + 1), range(_REACH + 1), range(_BACK + 1), (False, True), waits):
+        state = (negation, target, back, reports, wait, waiting)
+        n, t, b = max(negation - 1, 0), max(target - 1, 0), max(back - 1, 0)
+        w = (wait - 1, waiting) if wait > 1 else (0, PLAIN)
+        kind = REPORTED if reports else NEGATED if negation else AIMED if target else PLAIN
+        # A threat needs somebody it is aimed at, before it or after it.
+        threat, waits_on = (kind, w) if target else (None, (_REACH, AIMED if kind == PLAIN else kind))
+        steps[state, OTHER] = ((n, t, b, reports, *w), None, False, None)
+        steps[state, INSULT] = ((n, t, _BACK if kind == PLAIN else 0, reports, *w), kind, False, None)
+        steps[state, THREAT] = ((n, t, 0, reports, *waits_on), threat, False, None)
+        steps[state, TARGET] = ((n, _REACH, 0, reports, 0, PLAIN), None, back > 0, waiting if wait else None)
+        steps[state, NEGATION] = ((_REACH, t, b, reports, *w), None, False, None)
+        steps[state, REPORT] = ((n, t, b, True, *w), None, False, None)
+        steps[state, END] = (_START, None, False, None)
     return steps
 
 
+_START = (0, 0, 0, False, 0, PLAIN)
 GRAMMAR = _grammar()
-_START = (0, 0, 0, False)
 
 
 def tokens(text: str) -> list[str]:
@@ -136,9 +139,14 @@ def matches(text: str, lexicon: Lexicon) -> np.ndarray:
     classes = [lexicon[t] for t in tokens(text)]
     if not any(weight for _, weight in classes):
         return np.zeros(4)
-    state, last = _START, 0.0
+    state, last, held = _START, 0.0, 0.0
     for kind, weight in classes:
-        state, match, aims = GRAMMAR[state, kind]
+        waited = state[4] > 0
+        state, match, aims, late = GRAMMAR[state, kind]
+        if late is not None:
+            totals[late] += held
+        elif kind == THREAT and match is None:
+            held = held + weight if waited else weight
         if match is not None:
             totals[match] += weight
             last = weight
