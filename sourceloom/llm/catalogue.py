@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from sourceloom.llm import exact, html, licenses, lines, mixing, packing, simhash, spots, substrings, topk, toxicity
+from sourceloom.llm import exact, html, licenses, lines, mixing, packing, simhash, spelling, spots, substrings, topk, toxicity
 from sourceloom.llm.common import prepare
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,7 @@ PLANS["op8_html_extraction"] = _over(html.extract, "pages")
 PLANS["op9_substring_dedup"] = _over(substrings.digest, "documents")
 PLANS["op10_toxicity"] = _over(toxicity.digest, "documents", "labels")
 PLANS["op11_exact_top_k"] = _over(topk.digest, "embeddings")
+PLANS["op12_spelling_variants"] = _over(spelling.digest, "documents")
 PLANS["pipeline"] = corpus_pipeline.run
 
 ORACLES["op1_line_dedup"] = lines.SQL
@@ -40,5 +41,6 @@ ORACLES["op2_source_mixing"] = mixing.SQL
 ORACLES["op4_exact_dedup"] = exact.SQL
 ORACLES["op9_substring_dedup"] = substrings.SQL
 ORACLES["op11_exact_top_k"] = topk.SQL
+ORACLES["op12_spelling_variants"] = spelling.SQL
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
