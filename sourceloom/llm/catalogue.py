@@ -6,7 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from sourceloom.llm import exact, html, licenses, lines, mixing, packing, simhash, spelling, spots, substrings, topk, toxicity
+from sourceloom.llm import (alignment, exact, html, licenses, lines, mixing, packing, simhash, spelling, spots, substrings, topk,
+                            toxicity)
 from sourceloom.llm.common import prepare
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +35,7 @@ PLANS["op9_substring_dedup"] = _over(substrings.digest, "documents")
 PLANS["op10_toxicity"] = _over(toxicity.digest, "documents", "labels")
 PLANS["op11_exact_top_k"] = _over(topk.digest, "embeddings")
 PLANS["op12_spelling_variants"] = _over(spelling.digest, "documents")
+PLANS["op13_tokenizer_alignment"] = _over(alignment.digest, "documents")
 PLANS["pipeline"] = corpus_pipeline.run
 
 ORACLES["op1_line_dedup"] = lines.SQL
