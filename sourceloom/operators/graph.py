@@ -9,9 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sourceloom.functions.fold import node_slug
-from sourceloom.functions.similarity import name_ratio
 from sourceloom.functions.words import entity_key, is_noise_key
-from sourceloom.operators.naming import close_pairs, contained_pairs
+from sourceloom.operators.naming import add_ratio, close_pairs, contained_pairs
+from sourceloom.session import cut_lineage
 
 NODE_ALIASES = 8            # fixed value: aliases listed on a node page
 MERGE_RATIO = 0.75          # fixed value: similarity that proposes a merge
@@ -173,10 +173,12 @@ def merge_candidates(keys: DataFrame, with_ratio: bool = True) -> DataFrame:
     held = contained_pairs(known, "key", []).withColumn("contained", F.lit(True))
     if not with_ratio:
         return held
-    close = close_pairs(known, "key", [], MERGE_RATIO)
-    return held.join(close, ["a", "b"], "full_outer").select(
-        "a", "b", F.coalesce("contained", F.lit(False)).alias("contained"),
-        F.coalesce("ratio", name_ratio(F.col("a"), F.col("b"))).alias("ratio"))
+    close = cut_lineage(close_pairs(known, "key", [], MERGE_RATIO)).withColumn("contained", F.lit(False))
+    held = cut_lineage(held)
+    apart = held.join(close.select("a", "b"), ["a", "b"], "left_anti")
+    return (close.join(held.select("a", "b", F.col("contained").alias("held")), ["a", "b"], "left")
+            .select("a", "b", F.coalesce("held", "contained").alias("contained"), "ratio")
+            .unionByName(add_ratio(apart).select("a", "b", "contained", "ratio")))
 
 
 def propose_merges(candidates: DataFrame, titles: DataFrame) -> DataFrame:

@@ -68,32 +68,58 @@ _PRINTS = r"""
 p AS (SELECT file_id, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))
        ELSE list_distinct(w) END AS pairs FROM (SELECT file_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM docs))"""
 _SIMILARITY = """CASE WHEN len(pa.pairs) + len(pb.pairs) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(pa.pairs, pb.pairs)) / (len(pa.pairs) + len(pb.pairs)) END"""
-_FAMILY_LINKS = f"""{_HEADS}, {_PRINTS},
-fl AS (SELECT a.file_id AS old_id, b.file_id AS new_id, {_SIMILARITY} AS sim, row_number() OVER (PARTITION BY a.file_id ORDER BY b.score DESC, b.as_of DESC, b.file_id DESC) AS rn
-   FROM docs a JOIN docs b ON a.grp = b.grp AND a.stem = b.stem AND (b.score > a.score OR (b.score = a.score AND b.as_of > a.as_of))
-   JOIN p pa ON pa.file_id = a.file_id JOIN p pb ON pb.file_id = b.file_id WHERE {_SIMILARITY} >= 0.35)"""
-
-
-@query("version_links", f"WITH {_FAMILY_LINKS} SELECT old_id, new_id, round(sim, 6) AS similarity FROM fl WHERE rn = 1")
+#: Matching blocks of the pairs (a, b) of {0}: the longest common block, earliest in a, then in b; then both sides of it.
+_BLOCKS = """
+pieces AS (SELECT a, b, a AS x, b AS y, CAST(0 AS BIGINT) AS k FROM {0} UNION ALL
+  SELECT a, b, unnest([x[:i - 1], x[i + n:]]), unnest([y[:strpos(y, x[i:i + n - 1]) - 1], y[strpos(y, x[i:i + n - 1]) + n:]]), unnest([n, 0]) FROM (
+    SELECT a, b, x, y, best[2] AS i, -best[1] AS n FROM (SELECT a, b, x, y, list_min(list_filter(flatten(list_transform(range(1, length(x) + 1), lambda i:
+      list_transform(range(1, length(x) - i + 2), lambda k: [-k, i]))), lambda c: contains(y, x[c[2]:c[2] - c[1] - 1]))) AS best FROM pieces
+      WHERE x <> '' AND y <> '') WHERE best IS NOT NULL)),
+ratios AS (SELECT a, b, 2.0 * sum(k) / (length(a) + length(b)) AS ratio FROM pieces GROUP BY a, b)"""
+# every older member against every newer one, in its own family or in one with a similar name
+_LINKS = """
+fl AS (SELECT a.file_id AS old_id, b.file_id AS new_id, {1} AS sim, row_number() OVER (PARTITION BY a.file_id ORDER BY b.score DESC, b.as_of DESC, b.file_id DESC) AS rn
+   FROM docs a JOIN docs b ON a.grp = b.grp AND ({0}) AND (b.score > a.score OR (b.score = a.score AND b.as_of > a.as_of))
+   JOIN p pa ON pa.file_id = a.file_id JOIN p pb ON pb.file_id = b.file_id WHERE {1} >= 0.35)
+SELECT old_id, new_id, round(sim, 6) AS similarity FROM fl WHERE rn = 1"""
+_NEAR = f"""
+pairs AS MATERIALIZED (SELECT DISTINCT x.stem AS a, y.stem AS b FROM docs x JOIN docs y ON x.grp = y.grp AND x.stem < y.stem AND x.stem <> ''
+  AND 2.0 * least(length(x.stem), length(y.stem)) >= 0.55 * (length(x.stem) + length(y.stem))),
+{_BLOCKS.format('pairs')},
+near AS MATERIALIZED (SELECT a, b FROM ratios WHERE ratio >= 0.55 UNION ALL SELECT b, a FROM ratios WHERE ratio >= 0.55)"""
+_IN_NEAR = "a.stem = b.stem OR (a.stem, b.stem) IN (SELECT a, b FROM near)"
+
+
+@query("version_links", f"WITH {_DOCS}, {_PRINTS}, {_LINKS.format('a.stem = b.stem', _SIMILARITY)}")
 def version_links(spark, sf):
     docs = version_docs(spark, sf)
     return versions.detect_versions(docs, similar_names=False).select("old_id", "new_id", F.round("similarity", 6).alias("similarity"))
 
 
-_RATIO = "(length({a}) + length({b}) - (2 * levenshtein({a}, {b}) - abs(length({a}) - length({b}))))::DOUBLE / (length({a}) + length({b}))"
-
-
-@query("version_links_similar_names", f"""WITH {_FAMILY_LINKS},
-near AS (SELECT x.head_id AS xi, x.head_score AS xs, x.head_as_of AS xd, y.head_id AS yi, y.head_score AS ys, y.head_as_of AS yd
-   FROM heads x JOIN heads y ON x.grp = y.grp AND x.stem < y.stem AND {_RATIO.format(a='x.stem', b='y.stem')} >= 0.55),
-ruled AS (SELECT CASE WHEN xs > ys OR (xs = ys AND xd > yd) THEN yi ELSE xi END AS old_id, CASE WHEN xs > ys OR (xs = ys AND xd > yd) THEN xi ELSE yi END AS new_id
-   FROM near WHERE xs <> ys OR xd <> yd),
-nl AS (SELECT old_id, new_id, {_SIMILARITY} AS sim FROM ruled JOIN p pa ON pa.file_id = old_id JOIN p pb ON pb.file_id = new_id)
-SELECT old_id, new_id, round(sim, 6) AS similarity FROM fl WHERE rn = 1 UNION ALL SELECT old_id, new_id, round(sim, 6) FROM nl WHERE sim >= 0.35""")
+@query("version_links_similar_names", f"WITH RECURSIVE {_DOCS}, {_PRINTS}, {_NEAR}, {_LINKS.format(_IN_NEAR, _SIMILARITY)}")
 def version_links_similar_names(spark, sf):
     return versions.detect_versions(version_docs(spark, sf)).select("old_id", "new_id", F.round("similarity", 6).alias("similarity"))
 
 
+# the state after an update: some texts rewritten, some documents gone, some renamed; all other groups keep their links
+_UPDATED = _DOCS.replace("FROM documents)", "FROM documents WHERE doc_id % 17 <> 3)").replace(
+    "docs AS (SELECT *,", "docs AS (SELECT * REPLACE (CASE WHEN grp = 'en' AND doc_id % 5 = 1 THEN 'rewritten ' || doc_id ELSE text END AS text),")
+
+
+@query("versions_after_update", f"WITH RECURSIVE {_UPDATED}, {_PRINTS}, {_NEAR}, {_LINKS.format(_IN_NEAR, _SIMILARITY)}")
+def versions_after_update(spark, sf):
+    """Links of a first state, brought up to date by difference; the same as links derived from nothing."""
+    first = version_docs(spark, sf)
+    known = versions.update_links(spark.createDataFrame([], "grp string, old_id string, new_id string, similarity double"), first,
+                                  versions.touched_groups(first.limit(0), first, first))
+    key = F.col("doc_id")
+    second = first.filter(key % 17 != 3).withColumn("text", F.when((F.col("unit") == "en") & (key % 5 == 1), F.concat(
+        F.lit("rewritten "), key.cast("string"))).otherwise(F.col("text")))
+    touched = first.filter((key % 17 == 3) | ((F.col("unit") == "en") & (key % 5 == 1)))
+    links = versions.update_links(known, second, versions.touched_groups(first, second, touched))
+    return links.select("old_id", "new_id", F.round("similarity", 6).alias("similarity"))
+
+
 @query("copies_similarity", f"""WITH docs AS (SELECT doc_id AS file_id, text FROM documents), {_PRINTS}
 SELECT pa.file_id AS doc_id, len(pa.pairs) AS word_pairs, round({_SIMILARITY}, 6) AS similarity FROM p pa JOIN p pb ON pb.file_id = pa.file_id + 1""")
 def copies_similarity(spark, sf):
@@ -281,9 +307,11 @@ def merge_candidates(spark, sf):
     return graph.merge_candidates(_merge_keys(spark, sf), with_ratio=False).select("a", "b")
 
 
-@query("merge_candidates_ratio", f"""WITH {_KEYS}, kw AS (SELECT key, string_split(key, ' ') AS w FROM ks),
-r AS (SELECT x.key AS a, y.key AS b, list_has_all(x.w, y.w) OR list_has_all(y.w, x.w) AS contained, {_RATIO.format(a='x.key', b='y.key')} AS ratio FROM kw x JOIN kw y ON x.key < y.key)
-SELECT a, b, contained, round(ratio, 6) AS ratio FROM r WHERE contained OR ratio >= 0.75""")
+@query("merge_candidates_ratio", f"""WITH RECURSIVE {_KEYS}, kw AS (SELECT key, string_split(key, ' ') AS w FROM ks),
+pairs AS MATERIALIZED (SELECT x.key AS a, y.key AS b, list_has_all(x.w, y.w) OR list_has_all(y.w, x.w) AS contained FROM kw x JOIN kw y ON x.key < y.key
+  WHERE list_has_all(x.w, y.w) OR list_has_all(y.w, x.w) OR 2.0 * least(length(x.key), length(y.key)) >= 0.75 * (length(x.key) + length(y.key))),
+{_BLOCKS.format('pairs')}
+SELECT a, b, contained, round(ratio, 6) AS ratio FROM ratios JOIN pairs USING (a, b) WHERE contained OR ratio >= 0.75""")
 def merge_candidates_ratio(spark, sf):
     """Adds pairs with a high ratio."""
     return graph.merge_candidates(_merge_keys(spark, sf)).select("a", "b", "contained", F.round("ratio", 6).alias("ratio"))

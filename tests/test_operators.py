@@ -1,3 +1,4 @@
+import difflib
 import itertools
 import random
 
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sourceloom.functions.access import visible
-from sourceloom.operators import changes, curation, facts, graph, ownership, search, versions
+from sourceloom.operators import changes, curation, facts, graph, naming, ownership, search, versions
 from sourceloom.operators.naming import close_pairs
 from sourceloom.operators.pages import annotate_field, parse_pages
 
@@ -78,19 +79,24 @@ def test_merge_candidates_lose_no_containment(spark):
     assert got == brute
 
 
-def edits(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
+def blocks(a, b):
+    """Characters in matching blocks: the longest common block, earliest in a, then in b; then both sides of it."""
+    best = (0, 0, 0)
+    ends = {}
+    for i, x in enumerate(a):
+        now = {}
+        for j, y in enumerate(b):
+            if x == y:
+                k = now[j] = ends.get(j - 1, 0) + 1
+                if k > best[2]:
+                    best = (i - k + 1, j - k + 1, k)
+        ends = now
+    i, j, k = best
+    return k and k + blocks(a[:i], b[:j]) + blocks(a[i + k:], b[j + k:])
 
 
 def plain_ratio(a, b):
-    total = len(a) + len(b)
-    return (total - (2 * edits(a, b) - abs(len(a) - len(b)))) / total if total else 1.0
+    return 2 * blocks(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
 @pytest.mark.parametrize("threshold", [0.55, 0.75])
@@ -104,7 +110,64 @@ def test_close_names_match_brute_force(spark, threshold):
     scopes = {}
     for g, n in rows:
         scopes.setdefault(g, set()).add(n)
-    assert got == {(g, *sorted(p)) for g, own in scopes.items() for p in itertools.combinations(own, 2) if "" not in p and plain_ratio(*p) >= threshold}
+    assert got == {(g, *sorted(p)) for g, own in scopes.items() for p in itertools.combinations(own, 2) if "" not in p and plain_ratio(*sorted(p)) >= threshold}
+
+
+def moved_names(seed, count):
+    """Names of few words, with copies whose blocks are moved, cut or spelled otherwise."""
+    r = random.Random(seed)
+    syllables = [a + b + c for a in "bcdfglmnprst" for b in "aeiou" for c in ("", "n", "r", "x")]
+    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 3)))
+    names = set()
+    while len(names) < count:
+        parts = [word() for _ in range(r.randint(2, 4))]
+        names.add(" ".join(parts))
+        if r.random() < 0.3:
+            k = r.randrange(1, len(parts))
+            names.add(" ".join(parts[k:] + parts[:k] + [word()] * r.randint(0, 1)))
+        if r.random() < 0.2:
+            names.add(" ".join(parts)[r.randint(1, 3):])
+    return sorted(names)[:count]
+
+
+@pytest.mark.parametrize(("threshold", "hot"), [(0.55, 8), (0.75, 2), (0.75, 10_000)])
+def test_names_with_moved_blocks(spark, threshold, hot):
+    """Divided buckets give what whole ones do, and both give what all pairs give."""
+    names = moved_names(7, 500)
+    want = set()
+    for i, a in enumerate(names):
+        for b in names[i + 1:]:
+            match = difflib.SequenceMatcher(None, a, b)
+            if match.real_quick_ratio() >= threshold and match.quick_ratio() >= threshold and match.ratio() >= threshold:
+                want.add((a, b, round(match.ratio(), 9)))
+    df = spark.createDataFrame([(n,) for n in names], "key string")
+    got = {(r["a"], r["b"], round(r["ratio"], 9)) for r in close_pairs(df, "key", [], threshold, hot=hot).collect()}
+    assert got == want and len(want) > 60
+
+
+def test_five_thousand_names(spark):
+    """Every planted move is found and every pair found is true; all pairs of one letter are compared with brute force."""
+    names = moved_names(8, 5_000)
+    df = spark.createDataFrame([(n,) for n in names], "key string")
+    got = {(r["a"], r["b"]): r["ratio"] for r in close_pairs(df, "key", [], 0.75).collect()}
+    assert all(abs(difflib.SequenceMatcher(None, a, b).ratio() - v) < 1e-12 and v >= 0.75 for (a, b), v in got.items())
+    some = [n for n in names if n < "bo"]
+    for a in some:
+        for b in names:
+            if a < b:
+                match = difflib.SequenceMatcher(None, a, b)
+                if match.real_quick_ratio() >= 0.75 and match.quick_ratio() >= 0.75 and match.ratio() >= 0.75:
+                    assert (a, b) in got
+    assert len(some) > 100 and len(got) > 800
+
+
+def test_common_subsequence_bounds_the_blocks():
+    r = random.Random(6)
+    for _ in range(300):
+        a, b = ("".join(r.choice("abc ") for _ in range(r.randint(0, 25))) for _ in range(2))
+        assert naming.common_subsequence(a, b) >= blocks(a, b)
+        assert (naming.block_ratio(a, b) if a or b else 1.0) == pytest.approx(plain_ratio(a, b))
+    assert naming.block_ratio("acme sales report", "sales report europe", 0.55) == pytest.approx(24 / 36)
 
 
 def test_no_name_is_too_common_to_be_compared(spark):
@@ -125,6 +188,48 @@ def test_versions_link_to_the_newest_similar_one(spark):
     assert got == {("1", "2"), ("4", "2")}
 
 
+DOC = "file_id string, name string, entity string, unit string, as_of string, text string"
+NO_LINKS = "grp string, old_id string, new_id string, similarity double"
+
+
+def test_versions_between_families(spark):
+    """All members of families with similar names meet, not only their heads; the newest by rank wins, not the largest id."""
+    text, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [("1", "acme sales report v1.md", "2026-01", text), ("9", "acme sales report v3.md", "2026-03", other),
+            ("2", "sales report europe v2.md", "2026-02", text + " more"), ("3", "sales report europe v4.md", "2026-02", text + " more words"),
+            ("8", "holiday list v9.md", "2026-09", text), ("7", "sales report europe v2 (1).md", "2026-02", text)]
+    docs = spark.createDataFrame([(i, n, "e", "", d, t) for i, n, d, t in rows], DOC)
+    got = {(r["old_id"], r["new_id"]) for r in versions.detect_versions(docs).collect()}
+    assert got == {("1", "3"), ("2", "3"), ("7", "3")}
+
+
+def test_links_are_withdrawn_with_their_reason(spark):
+    text, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+
+    def docs(*rows):
+        return spark.createDataFrame([(i, n, e, "", d, t) for i, n, e, d, t in rows], DOC)
+
+    def pairs(links):
+        return {(r["old_id"], r["new_id"]) for r in links.collect()}
+
+    a1, a2, a3 = ("1", "plan v1.md", "e", "", text), ("2", "plan v2.md", "e", "", text), ("3", "plan v3.md", "e", "", text)
+    b1, b2 = ("4", "memo v1.md", "f", "", text), ("5", "memo v2.md", "f", "", text)
+    first = docs(a1, a2, b1, b2)
+    links = versions.update_links(spark.createDataFrame([], NO_LINKS), first, versions.touched_groups(first.limit(0), first, first))
+    assert pairs(links) == {("1", "2"), ("4", "5")}
+    rewritten = docs(a1, ("2", "plan v2.md", "e", "", other), b1, b2)
+    links = versions.update_links(links, rewritten, versions.touched_groups(first, rewritten, rewritten.filter("file_id = '2'")))
+    assert pairs(links) == {("4", "5")}
+    newest = docs(a1, a2, a3, b1)                                       # one is back, one is new, one is gone
+    links = versions.update_links(links, newest, versions.touched_groups(rewritten, newest, docs(a2, a3, b2)))
+    assert pairs(links) == {("1", "3"), ("2", "3")}
+    assert {r["file_id"]: (r["superseded_by"], r["supersedes"]) for r in versions.marks(links, newest).collect()} == {
+        "1": ("3", None), "2": ("3", None), "3": (None, "2")}
+    moved = docs(a1, a2, ("3", "plan v3.md", "f", "", text), b1)        # into the other group
+    links = versions.update_links(links, moved, versions.touched_groups(newest, moved, docs(a3)))
+    assert pairs(links) == {("1", "2")}
+
+
 def test_slug_numbers_of_very_many_collisions(spark):
     rows = [(f"k{i:05d}", "s/x") for i in range(3_000)] + [(f"n{u}", f"s/x-{u}") for u in (2, 3, 7, 2_999)]
     got = {r["key"]: r["slug"] for r in graph.unique_slugs(spark.createDataFrame(rows, "key string, base string")).collect()}

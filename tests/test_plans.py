@@ -83,6 +83,27 @@ def test_ingest_pass_end_to_end(spark, tmp_path):
     assert scoped.page(state["n"]["path"]) is None and k.page(state["n"]["path"]) is not None
 
 
+def test_marks_go_when_a_version_is_rewritten(spark, tmp_path):
+    """Three passes: linked, the newer text rewritten to something else, and back again."""
+    cfg = Settings(str(tmp_path / "t"), "2026-04-01T00:00:00")
+    body = NOTE + " It has a list of orders, of people and of places."
+    other = "Minutes of a board that met in spring and spoke of the garden, the roof and the old stairs of the house."
+
+    def state(second):
+        docs = [doc("x", "plan v1.md", "Clients/1. Globex", body), doc("y", "plan v2.md", "Clients/1. Globex", second),
+                doc("z", "note.md", "Clients/2. Acme", "A short note of Acme.")]
+        out = run_pass(spark, spark.createDataFrame(docs, DOCS), None, cfg)
+        pages = {r["file_id"]: r["markdown"] for r in out["pages"].collect()}
+        return {r["file_id"]: (r["superseded_by"], r["supersedes"]) for r in out["state"].collect()}, pages
+
+    marks, pages = state(body + " Signed.")
+    assert marks == {"x": ("y", None), "y": (None, "x"), "z": (None, None)} and 'superseded_by: "y"' in pages["x"]
+    marks, pages = state(other)
+    assert marks == {"x": (None, None), "y": (None, None), "z": (None, None)} and "superseded_by" not in pages["x"]
+    marks, pages = state(body + " Signed again.")
+    assert marks["x"] == ("y", None) and 'superseded_by: "y"' in pages["x"]
+
+
 def test_graph_build_and_registry_merge(spark):
     mentions = spark.createDataFrame([("p1", 1, "Globex, Inc.", "company"), ("p1", 2, "GLOBEX", None), ("p2", 1, "Globex", "company"), ("p2", 2, "Zed", "x")],
                                      "page string, pos int, name string, type string")
