@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sourceloom.functions.access import visible
 from sourceloom.functions.periods import query_periods
 from sourceloom.functions.words import RECENCY_WORDS, question_terms, question_tokens, search_tokens, snippet
+from sourceloom.session import cut_lineage
 
 # Ranking constants.
 TOP_K = 5
@@ -23,6 +24,8 @@ K1, B, MIN_IDF = 1.2, 0.75, 1e-6
 
 TEXT_COLUMNS = ["title", "body", "tags", "entity", "mentions"]
 _COLUMN_STRIDE = 1 << 32
+#: Pages of a posting block; blocks of a question that are scored first.
+BLOCK_PAGES, FIRST_BLOCKS = 4, 8
 
 
 def _tokens(df: DataFrame, columns: list[str]) -> Column:
@@ -85,20 +88,61 @@ def phrase_hits(phrases: DataFrame, postings: DataFrame) -> DataFrame:
     return single.unionByName(multi)
 
 
-def bm25(questions: DataFrame, postings: DataFrame, lengths: DataFrame) -> DataFrame:
-    """question_id, path, bm25 (negative, lower is better) for questions with a ``phrases`` array."""
-    asked = questions.select("question_id", F.explode("phrases").alias("phrase"))
-    hits = phrase_hits(asked.select("phrase").distinct(), postings)
+def phrase_weights(phrases: DataFrame, postings: DataFrame, lengths: DataFrame) -> DataFrame:
+    """phrase, path, w: what a phrase adds to the score of a page."""
+    hits = phrase_hits(phrases, postings)
     spread = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
     idf = spread.withColumns({"pages": lengths.agg(F.count(F.lit(1))).scalar(), "avg_len": lengths.agg(F.avg("len")).scalar()}).withColumn(
         "idf", F.greatest(F.log((F.col("pages") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(MIN_IDF)))
     saturation = F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    weighted = (hits.join(idf.select("phrase", "idf", "avg_len"), "phrase").join(lengths, "path")
-                .select("phrase", "path", (F.col("idf") * saturation).alias("w")))
+    return (hits.join(idf.select("phrase", "idf", "avg_len"), "phrase").join(lengths, "path")
+            .select("phrase", "path", (F.col("idf") * saturation).alias("w")))
+
+
+def bm25(questions: DataFrame, postings: DataFrame, lengths: DataFrame) -> DataFrame:
+    """question_id, path, bm25 (negative, lower is better) for questions with a ``phrases`` array: every pair."""
+    asked = questions.select("question_id", F.explode("phrases").alias("phrase"))
+    weighted = phrase_weights(asked.select("phrase").distinct(), postings, lengths)
     return (asked.join(weighted, "phrase").groupBy("question_id", "path")
             .agg((-F.sum("w")).alias("bm25")))
 
 
+def candidates(questions: DataFrame, weighted: DataFrame, pages: DataFrame, k: int = TOP_K, block_pages: int = BLOCK_PAGES) -> DataFrame:
+    """question_id, path, bm25 of all pages that can be among the best ``k`` of a question, and of few others.
+
+    Pages that every question treats alike (same entity, dates, marks) are dealt to blocks, so a question gives a block
+    one factor.  Each posting block (phrase, block) has its largest weight; their sum and that factor bound the score
+    of every page of the block.  The blocks with the best bounds of a question are scored first; a block whose
+    bound is worse than the k-th best page of these cannot hold a result, and its postings are not read.
+    """
+    alike = F.xxhash64(*[F.coalesce(c, F.lit("")) for c in ("entity", "as_of", "period", "verification", "quality")],
+                       F.coalesce("superseded_by", F.lit("")) != "")
+    kinds = pages.select("path", "entity", "superseded_by", "verification", "quality", "as_of", "period", alike.alias("kind"))
+    sizes = kinds.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / block_pages).alias("blocks"))
+    dealt = kinds.join(sizes, "kind").withColumn("block", F.xxhash64("kind", F.pmod(F.xxhash64("path"), F.col("blocks"))))
+    fixed = cut_lineage(dealt)
+    entries = cut_lineage(weighted.join(fixed.select("path", "block"), "path").select("phrase", "block", "path", "w"))
+    asked = questions.select("question_id", F.explode("phrases").alias("phrase"))
+    heads = cut_lineage(entries.groupBy("phrase", "block").agg(F.max("w").alias("most")))
+
+    meta = fixed.groupBy("block").agg(*[F.first(c).alias(c) for c in ("entity", "superseded_by", "verification", "quality", "as_of", "period")])
+    bounds = asked.join(heads, "phrase").groupBy("question_id", "block").agg((-F.sum("most")).alias("bm25"))
+    bounds = cut_lineage(_scored(questions, bounds.join(meta, "block")).select("question_id", "block", "score"))
+
+    def scored(blocks: DataFrame) -> DataFrame:
+        """All pages of (question_id, block) that hold a phrase of the question."""
+        return (blocks.join(asked, "question_id").join(entries, ["phrase", "block"])
+                .groupBy("question_id", "path").agg((-F.sum("w")).alias("bm25")))
+
+    first = bounds.withColumn("at", F.row_number().over(W.partitionBy("question_id").orderBy("score", "block"))).filter(
+        F.col("at") <= FIRST_BLOCKS).select("question_id", "block")
+    border = (_final(questions, scored(first), pages).withColumn("at", F.row_number().over(W.partitionBy("question_id").orderBy("score", "path")))
+              .filter(F.col("at") == k).select("question_id", F.col("score").alias("border")))
+    # rounding of sums in another order is allowed for
+    left = bounds.join(border, "question_id", "left").filter(F.col("border").isNull() | (F.col("score") <= F.col("border") * (1 + 1e-9)))
+    return scored(left.select("question_id", "block"))
+
+
 def ask_terms(questions: DataFrame, text: str = "question") -> DataFrame:
     """Adds everything ranking needs from a question."""
     low = F.lower(F.col(text))
@@ -110,23 +154,33 @@ def ask_terms(questions: DataFrame, text: str = "question") -> DataFrame:
         "periods": query_periods(F.col(text)), "wants_fresh": fresh})
 
 
+def in_scope(pages: DataFrame, include_superseded: bool = True, audiences: Iterable[str] | None = None) -> DataFrame:
+    """Pages that an audience may see."""
+    meta = pages.filter(visible(F.col("acl"), audiences))
+    return meta if include_superseded else meta.filter(F.coalesce("superseded_by", F.lit("")) == "")
+
+
+def _final(questions: DataFrame, scored: DataFrame, pages: DataFrame) -> DataFrame:
+    """Scored pairs with their factors and final score."""
+    return _scored(questions, scored.join(pages.select("path", "entity", "superseded_by", "verification", "quality", "as_of", "period"), "path"))
+
+
+def _scored(questions: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The same for pairs that carry the page's fields."""
+    q = questions.select("question_id", "tokens", "periods", "wants_fresh")
+    factored = pairs.join(q, "question_id").withColumn("adjustments", _adjustments())
+    factor = F.aggregate("adjustments", F.lit(1.0), lambda acc, a: acc * a["factor"])
+    return factored.withColumn("score", factor / (1.0 - F.least("bm25", F.lit(0.0))))
+
+
 def rank(questions: DataFrame, scored: DataFrame, pages: DataFrame, k: int = TOP_K,
          include_superseded: bool = True, audiences: Iterable[str] | None = None) -> DataFrame:
     """Top ``k`` pages per question.
 
-    Scope and supersession filter first; all pages in scope are ranked with their factors, and the one limit
-    has a total order.
+    Scope and supersession filter first; the one limit has a total order.
     ``questions`` comes from :func:`ask_terms`.
     """
-    meta = pages.filter(visible(F.col("acl"), audiences))
-    if not include_superseded:
-        meta = meta.filter(F.coalesce("superseded_by", F.lit("")) == "")
-    meta = meta.select("path", "entity", "superseded_by", "verification", "quality", "as_of", "period")
-    candidates = scored.join(meta, "path")
-    q = questions.select("question_id", "tokens", "periods", "wants_fresh")
-    factored = candidates.join(q, "question_id").withColumn("adjustments", _adjustments())
-    factor = F.aggregate("adjustments", F.lit(1.0), lambda acc, a: acc * a["factor"])
-    final = factored.withColumn("score", factor / (1.0 - F.least("bm25", F.lit(0.0))))
+    final = _final(questions, scored, in_scope(pages, include_superseded, audiences))
     by_score = W.partitionBy("question_id").orderBy("score", "path")
     return (final.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
             .select("question_id", "rank", "path", "score", "bm25",
@@ -160,10 +214,16 @@ def with_snippets(hits: DataFrame, pages: DataFrame, width: int = 240) -> DataFr
     return hits.join(bodies, "path").withColumn("snippet", snippet(F.col("body"), F.col("tokens"), width)).drop("body")
 
 
-def search(questions: DataFrame, pages: DataFrame, postings: DataFrame | None = None,
-           lengths: DataFrame | None = None, **options) -> DataFrame:
-    """Ranked hits; without a stored index, one restricted to the words asked for is built on the fly."""
-    asked = ask_terms(questions)
+def search(questions: DataFrame, pages: DataFrame, postings: DataFrame | None = None, lengths: DataFrame | None = None,
+           k: int = TOP_K, include_superseded: bool = True, audiences: Iterable[str] | None = None) -> DataFrame:
+    """Ranked hits; without a stored index, one restricted to the words asked for is built on the fly.
+
+    The statistics are those of all pages; only pages in scope are dealt to blocks and scored.
+    """
+    asked = cut_lineage(ask_terms(questions))
     if postings is None:
         postings = build_postings(pages, terms=question_words(asked))
-    return rank(asked, bm25(asked, postings, page_lengths(pages) if lengths is None else lengths), pages, **options)
+    phrases = asked.select(F.explode("phrases").alias("phrase")).distinct()
+    weighted = phrase_weights(phrases, postings, page_lengths(pages) if lengths is None else lengths)
+    scope = in_scope(pages, include_superseded, audiences)
+    return rank(asked, candidates(asked, weighted, scope, k), scope, k)
