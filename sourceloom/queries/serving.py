@@ -3,9 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sourceloom.operators import index as stores
 from sourceloom.operators import search as ops
 from sourceloom.queries.registry import query
 from sourceloom.queries.views import INDEX_SQL, QUESTION, index_pages, questions
+from sourceloom.session import shared_folder
 
 _STOP = "(" + ",".join(f"'{w}'" for w in [
     "the", "a", "an", "in", "on", "of", "for", "and", "or", "to", "is", "are", "was", "were", "what", "which", "who", "how",
@@ -58,6 +60,22 @@ def postings(spark, sf):
     return ops.build_postings(index_pages(spark, sf), positions=False)
 
 
+# the pages of an earlier day: some were not there yet, some had another text, some are gone since
+_REFRESHED = _TOKENS.replace("FROM documents)", "FROM documents WHERE doc_id % 9 <> 4)")
+
+
+@query("index_refresh", f"WITH {_REFRESHED} SELECT term, path, count(*) AS tf FROM toks GROUP BY ALL")
+def index_refresh(spark, sf):
+    """A stored index after three refreshes; the same postings as an index built from nothing."""
+    marked = index_pages(spark, sf).withColumns({"mtime": F.lit(1.0), "size": F.lit(1).cast("long"), "day": F.pmod("doc_id", F.lit(9))})
+    root = shared_folder(spark, "index")
+    old = F.when(F.col("day") == 1, F.lit("an earlier text")).otherwise(F.col("body"))
+    stores.refresh(spark, root, marked.filter("day <> 2").withColumns({"body": old, "mtime": F.when(F.col("day") == 1, 0.0).otherwise(F.col("mtime"))}))
+    stores.refresh(spark, root, marked.filter("day not in (4, 5)"))
+    stores.refresh(spark, root, marked.filter("day <> 4"))
+    return stores.open_index(spark, root).postings.select("term", "path", "tf")
+
+
 @query("page_lengths", f"WITH {_TOKENS} SELECT idx.path, count(term) AS len FROM idx LEFT JOIN toks USING (path) GROUP BY idx.path")
 def page_lengths(spark, sf):
     return ops.page_lengths(index_pages(spark, sf))

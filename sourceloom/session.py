@@ -51,12 +51,11 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows, stored in the folder the cluster names in ``spark.checkpoint.dir`` and read back.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one the cluster names in ``spark.checkpoint.dir``.
 
     Only when no folder is configured (unit tests on one machine) is one created here.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not configured:
@@ -65,7 +64,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(os.path.join(tempfile.mkdtemp(prefix="sourceloom-"), "checkpoints"))
     elif not context.getCheckpointDir():
         context.setCheckpointDir(configured)
+    return f"{context.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows, stored in a shared folder and read back."""
     # a written table runs the plan once (an eager checkpoint runs it twice) and is columnar
-    path = f"{context.getCheckpointDir().rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
