@@ -1,8 +1,12 @@
 """Claim checks: each paragraph against its best source window."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from sourceloom.functions.lets import let
 from sourceloom.functions.words import content_tokens, split_claims, strip_page_chrome
@@ -16,42 +20,97 @@ def window_starts(source: Column) -> Column:
     return F.sequence(F.lit(0), last.cast("int"), F.lit(WINDOW_STEP))
 
 
-def anchor_claims(pages: DataFrame, keys: list[str], body: str = "body", source: str = "source",
-                  max_claims: int | None = None) -> DataFrame:
-    """Per claim: the earliest source window holding the largest share of its content words.
+def best_window(bitmaps: list[int]) -> tuple[int, int]:
+    """(window, number of bitmaps that hold it) of the window in most of the bitmaps, the earliest of several.
 
-    All work stays in the page's own row.  The window vocabularies are built once per page, cut down to words of
-    its claims and read by all of them in place: they are neither shuffled nor copied per claim.
+    Bitmaps are added as columns of bits: plane k holds bit k of every window's count.
     """
-    def place(windows: Column, want: Column) -> Column:
-        none = F.struct(F.lit(0).alias("start"), F.lit(0).alias("held"))
-        return F.aggregate(windows, none, lambda acc, w: let(
-            F.size(F.array_intersect(want, w["words"])),
-            lambda n: F.when(n > acc["held"], F.struct(w["start"].alias("start"), n.alias("held"))).otherwise(acc)))
+    planes: list[int] = []
+    for carry in bitmaps:
+        for k, plane in enumerate(planes):
+            planes[k], carry = plane ^ carry, plane & carry
+            if not carry:
+                break
+        if carry:
+            planes.append(carry)
+    among, held = -1, 0
+    for k in reversed(range(len(planes))):
+        if among & planes[k]:
+            among, held = among & planes[k], held + (1 << k)
+    return ((among & -among).bit_length() - 1, held) if held else (0, 0)
 
-    def judged(claims: Column, text: Column) -> Column:
-        spoken = F.array_distinct(F.flatten(F.transform(claims, lambda c: c["want"])))
 
-        def over(vocabulary: Column) -> Column:
-            windows = F.transform(window_starts(text), lambda s: F.struct(s.alias("start"), F.array_intersect(
-                content_tokens(F.substring(text, s + 1, F.lit(WINDOW_CHARS))), vocabulary).alias("words")))
-            return let(windows, lambda ws: F.transform(claims, lambda c: F.struct(
-                c["claim"].alias("claim"), F.size(c["want"]).alias("words"), place(ws, c["want"]).alias("b"))))
-        return let(spoken, over)
+def _place(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per page one map from words to the windows that hold them; each claim adds the bitmaps of its words."""
+    for part in parts:
+        keys, row, number, claims, starts, held, words = part.schema.names[:-2], [], [], [], [], [], []
+        for i, (windows, own) in enumerate(zip(part.column("windows").to_pylist(), part.column("claims").to_pylist(), strict=True)):
+            where: dict[str, int] = {}
+            for k, window in enumerate(windows):
+                for word in window:
+                    where[word] = where.get(word, 0) | 1 << k
+            for n, c in enumerate(own):
+                window, most = best_window([where[w] for w in c["want"] if w in where])
+                row.append(i)
+                number.append(n)
+                claims.append(c["claim"])
+                starts.append(window * WINDOW_STEP)
+                held.append(most)
+                words.append(len(c["want"]))
+        yield pa.RecordBatch.from_arrays(
+            [*[part.column(k).take(pa.array(row, pa.int32())) for k in keys], pa.array(number, pa.int32()), pa.array(claims, pa.string()),
+             pa.array(starts, pa.int32()), pa.array(held, pa.int32()), pa.array(words, pa.int32())],
+            [*keys, "claim_no", "claim", "best", "held", "words"])
+
+
+def anchor_claims(pages: DataFrame, keys: list[str], body: str = "body", source: str = "source",
+                  max_claims: int | None = None) -> DataFrame:
+    """Per claim: the earliest source window holding the largest share of its content words.
 
+    All work stays in the page's own row.  The words of the windows, cut down to words of the page's claims, are found by
+    expressions; they become one bitmap of windows for each word, and no claim is compared with a window by itself.
+    """
     split = F.transform(split_claims(strip_page_chrome(F.col(body)), max_claims=max_claims),
                         lambda c: F.struct(c.alias("claim"), content_tokens(c).alias("want")))
     text = F.coalesce(source, F.lit(""))
-    rows = (pages.select(*keys, F.length(text).alias("source_len"), let(split, lambda c: judged(c, text)).alias("claims"))
-            .select(*keys, "source_len", F.posexplode("claims").alias("claim_no", "c")))
-    total, start = F.col("c.words"), F.col("c.b.start")
-    score = F.when((total == 0) | (F.col("source_len") == 0), F.lit(0.0)).otherwise(F.col("c.b.held") / total)
-    return rows.select(*keys, "claim_no", F.col("c.claim").alias("claim"), F.when(score > 0, start).otherwise(0).alias("start"),
-                       F.least(F.when(score > 0, start).otherwise(0) + WINDOW_CHARS, "source_len").alias("end"),
-                       score.alias("score"), total.alias("words"))
+
+    def judged(claims: Column) -> Column:
+        spoken = F.array_distinct(F.flatten(F.transform(claims, lambda c: c["want"])))
+        return let(spoken, lambda vocabulary: F.struct(F.transform(window_starts(text), lambda s: F.array_intersect(
+            content_tokens(F.substring(text, s + 1, F.lit(WINDOW_CHARS))), vocabulary)).alias("windows"), claims.alias("claims")))
+
+    rows = (pages.select(*keys, F.length(text).alias("source_len"), let(split, judged).alias("x"))
+            .select(*keys, "source_len", "x.windows", "x.claims").filter(F.size("claims") > 0))
+    fields = [f for f in rows.schema.fields if f.name not in ("windows", "claims")]
+    placed = rows.mapInArrow(_place, StructType([*fields, StructField("claim_no", IntegerType()), StructField("claim", StringType()),
+                                                 StructField("best", IntegerType()), StructField("held", IntegerType()),
+                                                 StructField("words", IntegerType())]))
+    none = (F.col("words") == 0) | (F.col("source_len") == 0)
+    score = F.when(none, F.lit(0.0)).otherwise(F.col("held") / F.col("words"))
+    start = F.when(score > 0, F.col("best")).otherwise(0)
+    return placed.select(*keys, "claim_no", "claim", start.alias("start"), F.least(start + WINDOW_CHARS, "source_len").alias("end"),
+                         score.alias("score"), "words")
 
 
 def judge_claims(anchored: DataFrame) -> DataFrame:
     """Offline judge: supported when the window holds 70 % of the content words."""
     contained = F.when(F.col("words") == 0, F.lit(1.0)).otherwise(F.col("score"))
     return anchored.withColumn("verdict", F.when(contained >= SUPPORT, "supported").otherwise("unsupported"))
+
+
+def audit_claims(state: DataFrame, pages: DataFrame, sources: DataFrame) -> DataFrame:
+    """file_id, outcome, checked, unsupported: the claims of every page on record against its source.
+
+    ``state``: file_id, path, status; ``pages``: path, body; ``sources``: file_id, text (null: unreadable).  A document is
+    ``checked``, or the reason why it cannot be: no page on record, its page missing, its source missing.
+    """
+    asked = (state.select("file_id", "path", "status").join(pages.select("path", F.col("body").alias("_body")), "path", "left")
+             .join(sources.select("file_id", F.col("text").alias("_source")), "file_id", "left"))
+    none = F.coalesce("path", F.lit("")) == ""
+    outcome = (F.when(none | (F.col("status") != "processed"), "no page on record").when(F.col("_body").isNull(), "page missing")
+               .when(F.col("_source").isNull(), "source missing").otherwise("checked"))
+    ruled = asked.withColumn("outcome", outcome)
+    judged = judge_claims(anchor_claims(ruled.filter("outcome = 'checked'"), ["file_id"], body="_body", source="_source"))
+    counts = judged.groupBy("file_id").agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("verdict") == "unsupported").alias("unsupported"))
+    return ruled.select("file_id", "outcome").join(counts, "file_id", "left").select(
+        "file_id", "outcome", F.coalesce("checked", F.lit(0)).alias("checked"), F.coalesce("unsupported", F.lit(0)).alias("unsupported"))

@@ -240,9 +240,8 @@ best AS (SELECT doc_id, claim_no, max(held) AS held, any_value(words) AS words F
 
 def _claim_pages(spark, sf):
     d, b = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    n = b.agg(F.count(F.lit(1)).alias("n"))
-    # one counted row joined to every document: a scalar, not a cross product
-    planted = (d.join(F.broadcast(n)).withColumn("item_id", F.col("doc_id") % F.col("n"))
+    n = b.agg(F.count(F.lit(1))).scalar()
+    planted = (d.withColumn("item_id", F.col("doc_id") % n)
                .join(b.select("item_id", F.col("text").alias("planted")), "item_id"))
     lines = F.concat(F.split("text", "\n"), F.array(F.replace(F.col("planted"), F.lit("\n"), F.lit(" "))))
     return planted.select("doc_id", F.col("text").alias("source"), F.array_join(lines, "\n\n").alias("body"))
@@ -260,6 +259,22 @@ def claims_windows(spark, sf):
                          F.col("start").cast("bigint").alias("start"), F.round("score", 6).alias("score"), "verdict")
 
 
+@query("claims_audit", f"""WITH {_CLAIMS_SQL},
+ruled AS (SELECT doc_id, claim_no, CASE WHEN words = 0 OR held / words >= 0.7 THEN 0 ELSE 1 END AS bad FROM best),
+counted AS (SELECT doc_id, count(*) AS checked, sum(bad) AS unsupported FROM ruled GROUP BY doc_id)
+SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'no page on record' WHEN doc_id % 13 = 1 THEN 'page missing' WHEN doc_id % 13 = 2 THEN 'source missing'
+  ELSE 'checked' END AS outcome, CASE WHEN doc_id % 13 > 2 THEN coalesce(checked, 0) ELSE 0 END AS checked,
+  CAST(CASE WHEN doc_id % 13 > 2 THEN coalesce(unsupported, 0) ELSE 0 END AS BIGINT) AS unsupported FROM src LEFT JOIN counted USING (doc_id)""")
+def claims_audit(spark, sf):
+    """Every document of a state in which some have no page, some lost their page and some their source."""
+    own = _claim_pages(spark, sf)
+    kind, path = F.col("doc_id") % 13, F.concat(F.lit("p/"), F.col("doc_id").cast("string"))
+    file_id = F.col("doc_id").cast("string").alias("file_id")
+    state = own.select(file_id, path.alias("path"), F.when(kind == 0, "deleted").otherwise("processed").alias("status"))
+    found = claims.audit_claims(state, own.filter(kind != 1).select(path.alias("path"), "body"), own.filter(kind != 2).select(file_id, F.col("source").alias("text")))
+    return found.select(F.col("file_id").cast("bigint").alias("doc_id"), "outcome", "checked", "unsupported")
+
+
 @query("claims_split", """SELECT doc_id, len(list_filter(list_transform(string_split(text, chr(10)),
    lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: length(x) >= 40)) AS claims FROM documents""")
 def claims_split(spark, sf):
