@@ -5,7 +5,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourceloom.functions.access import declared_acl
-from sourceloom.functions.lets import let, none_if_blank
+from sourceloom.functions.frontmatter import find, item_fields, items, raw_items, scalar_text, split
+from sourceloom.functions.lets import none_if_blank
 from sourceloom.functions.render import field, inline_list, scalar
 from sourceloom.functions.words import SYSTEM_FOOTERS
 
@@ -73,46 +74,25 @@ def annotate_field(markdown: Column, name: str, value: Column) -> Column:
         F.regexp_replace(bare, r"(?s)\A---\n.*?\n---\n", "")))
 
 
-def _unquote(value: Column) -> Column:
-    inner = F.regexp_extract(value, r'^"(.*)"$', 1)
-    plain = inner
-    for escaped, char in (('\\"', '"'), ("\\n", "\n"), ("\\t", "\t"), ("\\\\", "\\")):
-        plain = F.replace(plain, F.lit(escaped), F.lit(char))
-    return F.when(value.startswith('"'), plain).otherwise(value)
-
-
 def parse_pages(raw: DataFrame) -> DataFrame:
     """Index rows of Markdown pages (``path``, ``text``, ``mtime``, ``size``).
 
-    Reads the frontmatter the page contract writes: plain or quoted scalars, inline lists and the
-    mentions list.  A block that cannot be read, an ``acl`` that is not a list of valid labels, or
-    a block that never closes makes the page visible to nobody.
+    Frontmatter is read by the line automaton of :mod:`sourceloom.functions.frontmatter`.  A block that cannot be
+    read, an ``acl`` that is not a list of valid labels, or a block that never closes makes the page visible to nobody.
     """
-    block = F.regexp_extract("_t", r"(?s)\A---\n(.*?)\n---\n?", 1)
-    pairs = F.transform(F.filter(F.split("_block", "\n"), lambda ln: ln.rlike(r"^[A-Za-z_]+:( |$)")), lambda ln: F.struct(
-        F.regexp_extract(ln, r"^([A-Za-z_]+):", 1).alias("k"), F.trim(F.regexp_replace(ln, r"^[A-Za-z_]+:", "")).alias("v")))
-    stray = F.exists(F.split("_block", "\n"), lambda ln: ~ln.rlike(r"^[A-Za-z_]+:( |$)|^  - \{ name: .*\}$|^\s*$"))
-
-    def value(name: str) -> Column:
-        return F.get(F.filter("_pairs", lambda p: p["k"] == name), F.lit(0))["v"]
+    def entry(name: str) -> Column:
+        return find(F.col("_front.done"), name)
 
     def text(name: str) -> Column:
-        return F.coalesce(_unquote(value(name)), F.lit(""))
-
-    def items(name: str) -> Column:
-        body = F.regexp_extract(value(name), r"^\[(.*)\]$", 1)
-        parts = F.regexp_extract_all(body, F.lit(r'("(?:[^"\\]|\\.)*"|[^,\s][^,]*)'), F.lit(1))
-        return F.when(value(name).rlike(r"^\[.*\]$"), F.transform(parts, lambda p: _unquote(F.trim(p))))
+        return F.coalesce(scalar_text(entry(name)), F.lit(""))
 
     # an unquoted label that would not read back as text is not a label
-    typed = F.exists(F.regexp_extract_all(F.regexp_extract(value("acl"), r"^\[(.*)\]$", 1), F.lit(r"([^,]+)"), F.lit(1)),
-                     lambda p: F.trim(p).rlike(r"^(?:[\d.:~+\-]+|(?i)(?:true|false|null|yes|no|on|off))$"))
-    names = F.regexp_extract_all("_block", F.lit(r"(?m)^  - \{ name: (.*), type: [^,}]* \}$"), F.lit(1))
-    df = (raw.withColumn("_t", F.regexp_replace("text", r"\A\x{feff}+", ""))
-          .withColumn("_block", block).withColumn("_pairs", pairs)
-          .withColumn("_readable", (F.col("_block") != "") & ~stray))
+    typed = F.exists(raw_items(entry("acl")), lambda p: p.rlike(r"^(?:[\d.:~+\-]+|(?i)(?:true|false|null|yes|no|on|off))$"))
+    names = item_fields(entry("mentions"), "name")
+    df = raw.withColumn("_t", F.regexp_replace("text", r"\A\x{feff}+", ""))
+    df = df.withColumn("_front", split(F.col("_t"))).withColumn("_readable", (F.col("_front.block") != "") & ~F.col("_front.bad"))
     opens = F.col("text").rlike(r"\A\x{feff}?\s*---[ \t]*\r?\n")
-    labels = F.when(F.col("_readable") & ~F.coalesce(typed, F.lit(False)), items("acl"))
+    labels = F.when(F.col("_readable") & ~F.coalesce(typed, F.lit(False)), items(entry("acl")))
     body = F.when(F.col("_readable"), F.regexp_replace("_t", r"(?s)\A---\n.*?\n---\n?", "")).otherwise(F.col("_t"))
     fields = {"title": "title", "doc_type": "type", "entity": "entity", "unit": "unit", "period": "period", "as_of": "as_of",
               "date": "date", "verification": "verification", "quality": "extraction_quality", "representation": "representation",
@@ -125,7 +105,7 @@ def parse_pages(raw: DataFrame) -> DataFrame:
         "path", *[F.coalesce(read(text(k)), F.lit("")).alias(c) for c, k in fields.items()],
         F.coalesce(read(text("tier")).try_cast("int"), F.lit(0)).alias("tier"),
         F.coalesce(read(text("detail_in_source")) == "true", F.lit(False)).alias("detail_in_source"),
-        declared_acl(F.coalesce(value("acl").isNotNull(), F.lit(False)), labels, opens & ~F.col("_readable")).alias("acl"),
-        F.array_join(F.coalesce(read(items("tags")), F.array().cast("array<string>")), " ").alias("tags"),
-        F.array_join(F.transform(names, lambda n: _unquote(n)), " ").alias("mentions"),
+        declared_acl(F.coalesce(entry("acl").isNotNull(), F.lit(False)), labels, opens & ~F.col("_readable")).alias("acl"),
+        F.array_join(F.coalesce(read(items(entry("tags"))), F.array().cast("array<string>")), " ").alias("tags"),
+        F.array_join(F.coalesce(read(names), F.array().cast("array<string>")), " ").alias("mentions"),
         body.alias("body"), "mtime", "size")

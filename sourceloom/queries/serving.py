@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sourceloom.operators import index as stores
 from sourceloom.operators import search as ops
+from sourceloom.operators.pages import parse_pages
 from sourceloom.queries.registry import query
 from sourceloom.queries.views import INDEX_SQL, QUESTION, index_pages, questions
 from sourceloom.session import shared_folder
@@ -116,6 +117,44 @@ def snippets(spark, sf):
     return ops.with_snippets(_search(spark, sf), index_pages(spark, sf)).select("question_id", "path", "snippet")
 
 
+# pages whose frontmatter is written in four ways: inline, as line lists, with block scalars, and one that is not readable
+_WRITTEN = "doc_id % 5"
+
+
+@query("frontmatter_fields", rf"""WITH {INDEX_SQL}
+SELECT path, CASE WHEN {_WRITTEN} = 4 THEN '' ELSE title END AS title, CASE WHEN {_WRITTEN} = 4 THEN '' ELSE entity END AS entity,
+  CASE WHEN {_WRITTEN} = 4 THEN '' ELSE tags || ' page' END AS tags, CASE WHEN {_WRITTEN} = 4 THEN '' ELSE title || ', Inc. ' || entity END AS mentions,
+  CASE WHEN {_WRITTEN} = 4 THEN '' ELSE acl_csv END AS acl, CAST(length(body) AS BIGINT) +
+  CASE WHEN {_WRITTEN} = 4 THEN length('---' || chr(10) || 'title: [' || title || chr(10) || '---' || chr(10)) ELSE 0 END AS chars FROM idx""")
+def frontmatter_fields(spark, sf):
+    """Every page's fields read back from its text."""
+    pages = index_pages(spark, sf)
+    kind, title, entity = F.pmod("doc_id", F.lit(5)), F.col("title"), F.col("entity")
+
+    def lines(*parts):
+        return F.concat_ws("\n", *[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    def said(*parts):
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    inline = F.when(F.col("acl").isNotNull(), said("acl: [", F.array_join(F.transform("acl", lambda a: said('"', a, '"')), ", "), "]"))
+    listed = F.when(F.size("acl") > 0, lines("acl:", F.array_join(F.transform("acl", lambda a: said("  - '", a, "'  # label")), "\n"))).otherwise(inline)
+    front = F.when(kind == 0, lines(said("title: ", title), said('entity: "', entity, '"'), said("tags: [", F.col("tags"), ", page]"), inline,
+                                    "mentions:", said('  - { name: "', title, ', Inc.", type: company }'), said("  - { name: ", entity, ", type: other }")))
+    front = front.when(kind == 1, lines(said("title: '", title, "'  # shown"), "tags:", said("- ", F.col("tags")), '- "page"', listed, said("entity: ", entity),
+                                        "mentions:", said("  - name: '", title, ", Inc.'"), "    type: company", "  - type: other", said("    name: ", entity)))
+    front = front.when(kind == 2, lines("title: >-", said("  ", F.replace(title, F.lit(" "), F.lit("\n  "))), "", listed, "# tags follow", "tags: [",
+                                        said("  ", F.col("tags"), ","), "  page]", "entity: |-", said("    ", entity), "mentions:",
+                                        said("- {type: company, name: '", title, ", Inc.'}"), said("- {type: other, name: ", entity, "}")))
+    front = front.when(kind == 3, lines(said('title: "', F.replace(title, F.lit(" "), F.lit("\n  ")), '"'), "title_note: |", "  entity: wrong", "", inline,
+                                        said("entity:"), "note: ~", said("entity: ", entity, " # last one holds"), "tags:", said("    - ", F.col("tags")), "    - page",
+                                        "mentions:", said('  - name: "', title, ', Inc."'), said("  - name: ", entity)))
+    written = F.concat(F.lit("---\n"), F.when(kind == 4, said("title: [", title)).otherwise(front), F.lit("\n---\n"), F.col("body"))
+    raw = pages.select("path", written.alias("text"), F.lit(1.0).alias("mtime"), F.lit(1).alias("size"))
+    return parse_pages(raw).select("path", "title", "entity", "tags", "mentions", F.array_join("acl", ",").alias("acl"),
+                                   F.length("body").cast("bigint").alias("chars"))
+
+
 @query("superseded_paths", f"WITH {INDEX_SQL} SELECT path FROM idx WHERE superseded_by <> ''")
 def superseded_paths(spark, sf):
     return index_pages(spark, sf).filter(F.coalesce("superseded_by", F.lit("")) != "").select("path")
