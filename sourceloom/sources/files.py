@@ -1,7 +1,7 @@
 """Scans of file trees and the conversion of files to text and grids.
 
-Paths are listed by a walk, because file readers ignore names starting with "_" or "." and absence
-means deletion downstream; contents are read by the tasks.
+Folders are listed and contents read by tasks, because file readers ignore names starting with "_" or "." and absence
+means deletion downstream.
 """
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ import csv
 import hashlib
 import io
 import os
-import stat
 import subprocess
 import xml.etree.ElementTree as ET
 import zipfile
@@ -20,70 +19,151 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourceloom.functions import paths
+from sourceloom.session import cut_lineage, shared_folder
 
 SHEET_SAMPLE_ROWS = 25      # fixed value: rows shown in a sheet profile
 GRID_SCHEMA = "file_id string, sheet string, row int, values array<string>"
 
 
 class UnreadablePaths(RuntimeError):
-    """Some paths could not be read; reporting them as absent would delete their documents."""
+    """Some paths could not be read; reporting them as absent would delete their documents.
 
+    ``table`` names the stored table of all of them (rel, error); the message shows how many there are and some.
+    """
 
-def _walk(root: str) -> Iterator[str]:
-    problems: list[str] = []
-    for folder, dirs, names in os.walk(root, onerror=lambda e: problems.append(str(e))):
-        dirs.sort()
-        for name in sorted(names):
-            full = os.path.join(folder, name)
-            try:
-                os.path.relpath(full, root).encode("utf-8")
-            except UnicodeEncodeError:
-                continue
-            if not os.path.islink(full):
-                yield full
-    if problems:
-        raise UnreadablePaths("\n".join(problems[:50]))
+    def __init__(self, message: str, table: str):
+        super().__init__(message)
+        self.table = table
 
 
-def scan_files(spark: SparkSession, root: str) -> DataFrame:
-    """path ('./' prefix), size, mtime, md5, sha256 of every regular file below ``root``.
+_LISTED = "rel string, folder boolean, size long, mtime double, error string"
+_SCANNED = "path string, size long, mtime double, hash string, sha256 string, error string"
+_ROWS = 5_000
 
-    Only names are listed up front; the tasks open and hash the files (``root`` is a folder every
-    executor can reach).
-    """
-    names = [(os.path.relpath(p, root),) for p in _walk(root)]
-    listing = spark.createDataFrame(names, "rel string")
-    parts = max(1, min(len(names) // 64 + 1, 10_000))
 
-    def hash_files(batches):
+def _open(root: str):
+    """File system and path of a folder; anything but a local path is opened by its URI."""
+    from pyarrow.fs import FileSystem
+    return FileSystem.from_uri(root) if "://" in root else (None, root)
+
+
+def _entries(system, folder: str) -> Iterator[tuple[str, bool, int | None, float | None]]:
+    """name, is a folder, size, time of what a folder holds; links and special files are left out."""
+    if system is None:
+        with os.scandir(folder) as found:
+            for e in found:
+                try:
+                    e.name.encode("utf-8")
+                except UnicodeEncodeError:
+                    continue
+                if e.is_dir(follow_symlinks=False):
+                    yield e.name, True, None, None
+                elif e.is_file(follow_symlinks=False):
+                    info = e.stat(follow_symlinks=False)
+                    yield e.name, False, info.st_size, info.st_mtime
+        return
+    from pyarrow.fs import FileSelector, FileType
+    for e in system.get_file_info(FileSelector(folder)):
+        if e.type in (FileType.File, FileType.Directory):
+            yield e.base_name, e.type == FileType.Directory, e.size, e.mtime_ns / 1e9 if e.mtime_ns else 0.0
+
+
+def _gone(system, base: str, rel: str, err: OSError) -> bool:
+    """The entry itself has vanished while its folder is still there: its absence is the truth."""
+    above = os.path.dirname(f"{base}/{rel}")
+    return bool(rel) and isinstance(err, FileNotFoundError) and (system is not None or os.path.isdir(above))
+
+
+def _list_folders(root: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = _open(root)
+        rows: list[tuple] = []
+
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame(rows, columns=["rel", "folder", "size", "mtime", "error"]).astype({"size": "Int64"})
+            rows.clear()
+            return out
+
+        for batch in batches:
+            for rel in batch["rel"]:
+                try:
+                    for name, folder, size, mtime in _entries(system, f"{base}/{rel}" if rel else base):
+                        rows.append((f"{rel}/{name}" if rel else name, folder, size, mtime, None))
+                        if len(rows) >= _ROWS:
+                            yield flush()
+                except OSError as err:
+                    if not _gone(system, base, rel, err):
+                        rows.append((rel, True, None, None, str(err)))
+        yield flush()
+    return run
+
+
+def _refuse_errors(rows: DataFrame, name: str) -> None:
+    """Fails with all unreadable paths, which stay in a stored table; only a few of them go into the message."""
+    problems = rows.filter("error is not null").select(F.col(name).alias("rel"), "error")
+    some = problems.limit(20).collect()
+    if some:
+        table = shared_folder(rows.sparkSession, "unreadable")
+        problems.write.parquet(table)
+        count = rows.sparkSession.read.parquet(table).count()
+        raise UnreadablePaths("\n".join([f"{count} unreadable paths, all in {table}", *(f"{r['rel']}: {r['error']}" for r in some)]), table)
+
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """rel, size, mtime of every regular file below ``root``.
+
+    Folders are listed by tasks, level by level; a level is stored before the next one begins, and the driver sees
+    numbers only.  A folder that cannot be read fails the listing after all others have been tried.
+    """
+    frontier, levels, spread = spark.createDataFrame([("",)], "rel string"), [], spark.sparkContext.defaultParallelism * 4
+    count = 1
+    while count:
+        found = cut_lineage(frontier.repartition(min(count, max(spread, count // 256))).mapInPandas(_list_folders(root), _LISTED))
+        levels.append(found)
+        frontier = found.filter("folder and error is null").select("rel")
+        count = frontier.count()
+    everything = levels[0]
+    for level in levels[1:]:
+        everything = everything.unionByName(level)
+    _refuse_errors(everything, "rel")
+    return everything.filter("not folder").select("rel", "size", "mtime")
+
+
+def _hash_files(root: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = _open(root)
         for batch in batches:
-            rows, bad = [], []
+            rows = []
             for rel in batch["rel"]:
-                full = os.path.join(root, rel)
+                full = f"{base}/{rel}"
                 try:
-                    info = os.stat(full)
-                    if not stat.S_ISREG(info.st_mode):
-                        continue
                     md5, sha = hashlib.md5(), hashlib.sha256()
-                    with open(full, "rb") as handle:
+                    with open(full, "rb") if system is None else system.open_input_stream(full) as handle:
                         while chunk := handle.read(1 << 20):
                             md5.update(chunk)
                             sha.update(chunk)
-                except FileNotFoundError as err:
-                    if os.path.isdir(os.path.dirname(full)):
-                        continue        # the file itself is gone, and its absence is the truth
-                    bad.append(f"{rel}: {err}")
-                    continue
+                    info = os.stat(full) if system is None else None
+                    far = system.get_file_info(full) if system is not None else None
+                    size, mtime = (info.st_size, info.st_mtime) if info else (far.size, (far.mtime_ns or 0) / 1e9)
                 except OSError as err:
-                    bad.append(f"{rel}: {err}")
+                    if not _gone(system, base, rel, err):
+                        rows.append(("./" + rel, None, None, None, None, str(err)))
                     continue
-                rows.append(("./" + rel, info.st_size, info.st_mtime, md5.hexdigest(), sha.hexdigest()))
-            if bad:
-                raise UnreadablePaths("\n".join(bad[:50]))
-            yield pd.DataFrame(rows, columns=["path", "size", "mtime", "hash", "sha256"])
+                rows.append(("./" + rel, size, mtime, md5.hexdigest(), sha.hexdigest(), None))
+            yield pd.DataFrame(rows, columns=["path", "size", "mtime", "hash", "sha256", "error"]).astype({"size": "Int64"})
+    return run
+
 
-    return listing.repartition(parts).mapInPandas(
-        hash_files, "path string, size long, mtime double, hash string, sha256 string")
+def scan_files(spark: SparkSession, root: str) -> DataFrame:
+    """path ('./' prefix), size, mtime, md5, sha256 of every regular file below ``root``; stored.
+
+    ``root`` is a folder every executor can reach: a path of a shared file system or a URI.
+    """
+    listing = cut_lineage(list_tree(spark, root))
+    parts = max(1, min(listing.count() // 64 + 1, 10_000))
+    hashed = cut_lineage(listing.select("rel").repartition(parts).mapInPandas(_hash_files(root), _SCANNED))
+    _refuse_errors(hashed, "path")
+    return hashed.drop("error")
 
 
 # --- converters: small helpers over the bytes of one file ---------------------------------------------

@@ -1,6 +1,9 @@
+import hashlib
 import json
+import os
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from sourceloom.sinks.tables import write_markdown
@@ -30,6 +33,36 @@ def test_files_sheets_and_documents(spark, tmp_path):
     assert texts == {"note.md": "hello", "d.docx": "## Title\n\nText\n\n| a | b |"}
 
 
+def test_large_tree_is_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """20,000 files in folders of several levels; no list of names is made on the driver."""
+    root, want = tmp_path / "tree", set()
+    for i in range(100):
+        folder = root / f"a{i % 10}" / f"_b{i}" / ".c"
+        folder.mkdir(parents=True)
+        for k in range(200):
+            (folder / f"f {k}.txt").touch()
+            want.add(f"a{i % 10}/_b{i}/.c/f {k}.txt")
+    os.symlink(root / "a1", root / "link")
+    os.mkfifo(root / "pipe")
+    (root / "top.md").write_text("x")
+    os.makedirs(root / "empty")
+    monkeypatch.setattr(os, "walk", None)
+    listed = files.list_tree(spark, str(root))
+    assert listed.filter("size = 0").count() == 20_000 and listed.count() == 20_001
+    assert {r["rel"] for r in listed.filter("rel like 'a3/%' or rel = 'top.md'").collect()} == {w for w in want if w.startswith("a3/")} | {"top.md"}
+
+
+def test_unreadable_paths_are_all_named(spark, tmp_path):
+    with pytest.raises(files.UnreadablePaths) as failed:
+        files.scan_files(spark, str(tmp_path / "missing"))
+    assert "1 unreadable" in str(failed.value) and spark.read.parquet(failed.value.table).count() == 1
+    (tmp_path / "one.txt").write_text("a")
+    rows = {r["path"]: (r["size"], r["hash"]) for r in files.scan_files(spark, f"file://{tmp_path}").collect()}
+    assert rows == {"./one.txt": (1, hashlib.md5(b"a").hexdigest())}
+    (tmp_path / "empty").mkdir()
+    assert files.scan_files(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_markdown_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([("x/a.md", "---\ntitle: A\n---\nb\n")], "path string, markdown string")
     write_markdown(pages, str(tmp_path))
