@@ -5,7 +5,6 @@ means deletion downstream.
 """
 from __future__ import annotations
 
-import csv
 import hashlib
 import io
 import os
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 
 from sourceloom.functions import paths
 from sourceloom.session import cut_lineage, shared_folder
+from sourceloom.sources.delimited import delimited_rows
 
 SHEET_SAMPLE_ROWS = 25      # fixed value: rows shown in a sheet profile
 GRID_SCHEMA = "file_id string, sheet string, row int, values array<string>"
@@ -167,11 +167,6 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 # --- converters: small helpers over the bytes of one file ---------------------------------------------
-def _csv_grid(data: bytes, delimiter: str):
-    rows = csv.reader(io.StringIO(data.decode("utf-8", "replace"), newline=""), delimiter=delimiter)
-    yield "Sheet1", (r for r in rows)
-
-
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _PKG = "{http://schemas.openxmlformats.org/package/2006/relationships}"
@@ -211,8 +206,6 @@ def _xlsx_grid(data: bytes):
 
 def _grid_of(name: str, data: bytes):
     ext = os.path.splitext(name)[1].lower()
-    if ext in (".csv", ".tsv"):
-        return _csv_grid(data, "," if ext == ".csv" else "\t")
     if ext == ".xls":
         try:
             import xlrd
@@ -225,7 +218,10 @@ def _grid_of(name: str, data: bytes):
 
 
 def read_grids(files: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Grid rows of spreadsheets (columns file_id, name, full_path); blank rows are dropped."""
+    """Grid rows of spreadsheets (columns file_id, name, full_path); blank rows are dropped.
+
+    Delimited files are read in ranges by many tasks, workbooks by one task each.
+    """
     def convert(batches):
         for batch in batches:
             for rec in batch.itertuples():
@@ -245,7 +241,12 @@ def read_grids(files: DataFrame, max_rows: int | None = None) -> DataFrame:
                             kept = []
                     yield pd.DataFrame(kept, columns=["file_id", "sheet", "row", "values"])
 
-    return files.select("file_id", "name", "full_path").mapInPandas(convert, GRID_SCHEMA)
+    delimiter = F.when(paths.extension(F.col("name")) == ".csv", ",").when(paths.extension(F.col("name")) == ".tsv", "\t")
+    named = files.select("file_id", "name", "full_path", delimiter.alias("delimiter"))
+    plain = delimited_rows(named.filter("delimiter is not null")).select("file_id", F.lit("Sheet1").alias("sheet"), F.col("row").cast("int"), "values")
+    plain = plain if max_rows is None else plain.filter(F.col("row") <= max_rows)
+    books = named.filter("delimiter is null").select("file_id", "name", "full_path").mapInPandas(convert, GRID_SCHEMA)
+    return plain.unionByName(books)
 
 
 def _docx_text(data: bytes) -> str:
