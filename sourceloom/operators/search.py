@@ -123,7 +123,7 @@ def candidates(questions: DataFrame, weighted: DataFrame, pages: DataFrame, k: i
     fixed = cut_lineage(dealt)
     entries = cut_lineage(weighted.join(fixed.select("path", "block"), "path").select("phrase", "block", "path", "w"))
     asked = questions.select("question_id", F.explode("phrases").alias("phrase"))
-    heads = cut_lineage(entries.groupBy("phrase", "block").agg(F.max("w").alias("most")))
+    heads = entries.groupBy("phrase", "block").agg(F.max("w").alias("most"))
 
     meta = fixed.groupBy("block").agg(*[F.first(c).alias(c) for c in ("entity", "superseded_by", "verification", "quality", "as_of", "period")])
     bounds = asked.join(heads, "phrase").groupBy("question_id", "block").agg((-F.sum("most")).alias("bm25"))
