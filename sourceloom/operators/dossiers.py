@@ -7,7 +7,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sourceloom.functions import numbers
+from sourceloom.functions.render import inline_list, quoted, scalar
 from sourceloom.operators.ownership import shared_audience
+from sourceloom.operators.verification import verdict_of
+
+#: Sections of a dossier, in reading order.
+HEAD, STATUS, FIGURES, DOCUMENTS = range(4)
 
 
 def member_print(row_key: Column) -> tuple[Column, Column]:
@@ -70,17 +76,81 @@ def dossier_lines(members: DataFrame, facts: DataFrame) -> DataFrame:
     return status.unionByName(figures).unionByName(without).unionByName(documents)
 
 
-def verify_dossiers(lines: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Figures of a dossier line that no evidence line of the same entity backs.
+def evidence_lines(members: DataFrame, lines: DataFrame) -> DataFrame:
+    """What a dossier may quote: the facts it was given and the names and dates of its documents."""
+    owned = members.filter(F.coalesce("entity", F.lit("")) != "")
+    named = owned.select("entity", F.concat_ws(" · ", F.concat(F.lit("- "), "path"), "title",
+                                               F.when(F.coalesce("as_of", F.lit("")) != "", F.concat(F.lit("as_of "), "as_of"))).alias("line"))
+    given = lines.filter((F.col("section") == FIGURES) & F.col("line").startswith("- ")).select("entity", "line")
+    return named.unionByName(given)
+
+
+def shown_figures(lines: DataFrame, evidence: DataFrame) -> DataFrame:
+    """entity, display, backed: every figure of a dossier and whether evidence of its entity has its value.
 
-    ``evidence``: entity, line.  Works line by line on (entity, value) rows.
+    Rows are (entity, figure) and (entity, value), distinct on the map side, so an entity that owns a third of all
+    lines is spread over its values.
     """
-    from sourceloom.functions import numbers
     shown = (lines.select("entity", F.explode(numbers.figure_tokens(F.col("line"))).alias("token"))
              .filter(~numbers.is_weak(F.col("token")))
              .select("entity", numbers.display_of(F.col("token")).alias("display")).distinct()
              .withColumn("value_keys", numbers.token_keys(F.col("display"))))
-    pool = evidence.select("entity", F.explode(numbers.evidence_keys(F.col("line"))).alias("value_key")).distinct()
-    backed = (shown.select("entity", "display", F.explode("value_keys").alias("value_key"))
-              .join(pool, ["entity", "value_key"], "left_semi").select("entity", "display").distinct())
-    return shown.select("entity", "display").join(backed, ["entity", "display"], "left_anti")
+    pool = (evidence.select("entity", F.explode(numbers.evidence_keys(F.col("line"))).alias("value_key")).distinct()
+            .withColumn("held", F.lit(True)))
+    # explode_outer: a figure without a readable value stays, and no evidence backs it
+    return (shown.select("entity", "display", F.explode_outer("value_keys").alias("value_key"))
+            .join(pool, ["entity", "value_key"], "left")
+            .groupBy("entity", "display").agg(F.coalesce(F.bool_or("held"), F.lit(False)).alias("backed")))
+
+
+def verdicts(figures: DataFrame) -> DataFrame:
+    """entity, n_figures, n_unverified, verdict of the dossiers that show figures."""
+    counted = figures.groupBy("entity").agg(F.count(F.lit(1)).alias("n_figures"), F.count_if(~F.col("backed")).alias("n_unverified"))
+    return counted.withColumn("verdict", verdict_of(F.col("n_unverified"), F.col("n_figures")))
+
+
+def dossier_documents(members: DataFrame, facts: DataFrame, generated_at: str) -> DataFrame:
+    """Whole dossiers as ordered lines: entity, section, k1, k2, line.
+
+    Section 0 is the head (members, verdict, shared audience, unverified figures as a line list), the others are
+    :func:`dossier_lines` below their headings.  Sorted by its columns an entity's lines are its document; none is
+    gathered, so an entity may own any number of pages and figures.
+    """
+    from sourceloom.session import cut_lineage
+    body = cut_lineage(dossier_lines(members, facts))          # read three times: evidence, figures, document
+    figures = cut_lineage(shown_figures(body, evidence_lines(members, body)))
+    rollup = entity_rollup(members).join(verdicts(figures), "entity", "left")
+    doubted = figures.filter(~F.col("backed"))
+    verdict = F.coalesce("verdict", F.lit("verified"))
+    title = F.concat("entity", F.lit(" — dossier"))
+    head = [F.lit("---"), F.lit("type: dossier"), F.concat(F.lit("title: "), scalar(title)), F.concat(F.lit("entity: "), scalar(F.col("entity"))),
+            F.lit(f'generated_at: "{generated_at}"'), F.concat(F.lit("members: "), F.col("members").cast("string")),
+            F.concat(F.lit("verification: "), verdict), F.concat(F.lit("acl: "), inline_list(F.col("acl"))),
+            F.when(F.col("n_unverified") > 0, F.lit("unverified_numbers:"))]
+    frame = [(1, F.lit("---")), (2, F.lit("")), (3, F.concat(F.lit("# "), title)), (4, F.lit(""))]
+    headings = [(STATUS, "## Status"), (FIGURES, "## Key figures"), (DOCUMENTS, "## Documents")]
+    at = [F.struct(F.lit(HEAD).alias("section"), F.lit(f"0{i}").alias("k1"), line.alias("line")) for i, line in enumerate(head)]
+    at += [F.struct(F.lit(HEAD).alias("section"), F.lit(f"2{i}").alias("k1"), line.alias("line")) for i, line in frame]
+    for section, text in headings:
+        if section != STATUS:
+            at.append(F.struct(F.lit(section).alias("section"), F.lit("").alias("k1"), F.lit("").alias("line")))
+        at.append(F.struct(F.lit(section).alias("section"), F.lit(" ").alias("k1"), F.lit(text).alias("line")))
+    fixed = (rollup.select("entity", F.explode(F.array(*at)).alias("x")).filter(F.col("x.line").isNotNull())
+             .select("entity", "x.section", "x.k1", F.lit("").alias("k2"), "x.line"))
+    listed = doubted.select("entity", F.lit(HEAD).alias("section"), F.lit("1").alias("k1"), F.col("display").alias("k2"),
+                            F.concat(F.lit("  - "), quoted(F.col("display"))).alias("line"))
+    shown = body.select("entity", "section", F.concat(F.lit("!"), "k1").alias("k1"), "k2", "line")
+    return fixed.unionByName(listed).unionByName(shown)
+
+
+ORDER = ["entity", "section", "k1", "k2", "line"]
+
+
+def write_dossiers(documents: DataFrame, target: str) -> None:
+    """Files of every dossier in ``documents``; dossiers of other entities below ``target`` stay.
+
+    Ranges of the sorted lines are streamed to files named in reading order, so a dossier larger than a task is a
+    sequence of files.  Spark's committer moves them into place: a lost executor leaves nothing half-written.
+    """
+    (documents.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).select("entity", "line")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("entity").text(target))

@@ -8,11 +8,12 @@ from sourceloom.functions.access import label_ok
 from sourceloom.functions.lets import let
 from sourceloom.functions.similarity import text_similarity, word_pairs
 from sourceloom.functions.words import entity_key, marker_score, version_stem
-from sourceloom.operators import changes, chat, dossiers, graph, operations, versions
+from sourceloom.operators import changes, chat, connectors, dossiers, graph, operations, versions
 from sourceloom.queries.curation import manifest
 from sourceloom.queries.registry import query
 from sourceloom.sources.connectors import first_field, parent_ids
-from sourceloom.queries.views import FACTS_SQL, FILES_SQL, fact_store, files, superseded_pages, table
+from sourceloom.queries.views import (FACTS_SQL, FILES_SQL, fact_store, files, sql_figures, sql_keys, sql_spaced, superseded_pages,
+                                      table)
 
 # --- versions ---------------------------------------------------------------------------------------
 _STEM = (r"lower(trim(regexp_replace(regexp_replace(regexp_replace(name, '\.[^.]*$', ''), "
@@ -178,17 +179,44 @@ def dossier_changes(spark, sf):
     return dossiers.dossier_changes(dossiers.entity_rollup(now), state)
 
 
-@query("dossier_lines", f"""WITH {_MEMBERS}
-SELECT entity, 1 AS section, CAST(count(*) AS VARCHAR) || ' document(s) on file, ' || CAST(count(*) FILTER (superseded_by = '') AS VARCHAR) || ' current.' AS line FROM mem GROUP BY entity
+_LINES = """SELECT entity, 1 AS section, CAST(count(*) AS VARCHAR) || ' document(s) on file, ' || CAST(count(*) FILTER (superseded_by = '') AS VARCHAR) || ' current.' AS line FROM mem GROUP BY entity
 UNION ALL SELECT entity, 2, '- ' || metric || ' · ' || period || ' = ' || value_raw || coalesce(' ' || unit, '') || ' (source ' || source_ref || ')' FROM facts
   WHERE file_id NOT IN (SELECT file_id FROM mem WHERE superseded_by <> '')
 UNION ALL SELECT entity, 2, 'No verified observations in the facts store.' FROM (SELECT DISTINCT entity FROM mem) WHERE entity NOT IN
   (SELECT entity FROM facts WHERE file_id NOT IN (SELECT file_id FROM mem WHERE superseded_by <> ''))
-UNION ALL SELECT entity, 3, '- ' || title || ' — as of ' || as_of || CASE WHEN superseded_by <> '' THEN ' *(superseded)*' ELSE '' END FROM mem""")
+UNION ALL SELECT entity, 3, '- ' || title || ' — as of ' || as_of || CASE WHEN superseded_by <> '' THEN ' *(superseded)*' ELSE '' END FROM mem"""
+
+
+@query("dossier_lines", f"WITH {_MEMBERS} {_LINES}")
 def dossier_lines(spark, sf):
     return dossiers.dossier_lines(members(spark, sf), fact_store(spark, sf)).select("entity", "section", "line")
 
 
+_DOUBTED = f"""{_ROLLUP}, ln AS ({_LINES}),
+ev AS (SELECT entity, '- ' || path || ' · ' || title || ' · as_of ' || as_of AS line FROM mem
+       UNION ALL SELECT entity, line FROM ln WHERE section = 2 AND starts_with(line, '- ')),
+shown AS (SELECT DISTINCT entity, display FROM (SELECT entity, unnest({sql_figures('line')}) AS display FROM ln) WHERE NOT regexp_full_match(display, '[0-9]')),
+pool AS (SELECT DISTINCT entity, key FROM (SELECT entity, unnest({sql_keys('display')}) AS key FROM (SELECT DISTINCT entity, unnest({sql_figures('line')}) AS display FROM ev)
+         UNION ALL SELECT entity, unnest({sql_spaced('line')}) FROM ev)),
+backed AS (SELECT DISTINCT s.entity, s.display FROM (SELECT *, unnest({sql_keys('display')}) AS key FROM shown) s JOIN pool p ON p.entity = s.entity AND p.key = s.key),
+bad AS (SELECT entity, display FROM shown EXCEPT SELECT entity, display FROM backed),
+judged AS (SELECT entity, (SELECT count(*) FROM bad b WHERE b.entity = r.entity) AS n, (SELECT count(*) FROM shown s WHERE s.entity = r.entity) AS total FROM roll r)"""
+
+
+@query("dossier_verified", f"""WITH {_MEMBERS}, {_DOUBTED}
+SELECT entity, 0 AS section, unnest(['---', 'type: dossier', 'title: "' || entity || ' — dossier"', 'entity: ' || entity, 'generated_at: "2024-01-01"', 'members: ' || CAST(members AS VARCHAR),
+  'verification: ' || CASE WHEN n = 0 THEN 'verified' WHEN n = 1 OR n <= 0.25 * total THEN 'partial' ELSE 'failed' END, '---', '', '# ' || entity || ' — dossier', '']) AS line
+  FROM roll JOIN judged USING (entity)
+UNION ALL SELECT entity, 0, 'acl: [' || replace(acl, ',', ', ') || ']' FROM aud WHERE acl IS NOT NULL
+UNION ALL SELECT DISTINCT entity, 0, 'unverified_numbers:' FROM bad
+UNION ALL SELECT entity, 0, '  - "' || display || '"' FROM bad
+UNION ALL SELECT entity, s, line FROM roll, (VALUES (1, '## Status'), (2, ''), (2, '## Key figures'), (3, ''), (3, '## Documents')) AS v(s, line)
+UNION ALL SELECT * FROM ln""")
+def dossier_verified(spark, sf):
+    """Whole dossiers: head with shared audience and verdict over the entity's evidence, then the lines."""
+    return dossiers.dossier_documents(members(spark, sf), fact_store(spark, sf), "2024-01-01").select("entity", "section", "line")
+
+
 # --- entity graph -------------------------------------------------------------------------------------
 _WORDS = r"regexp_extract_all(text, '[\p{L}\p{N}_]+')"
 _NOT = "(" + ",".join(f"'{w}'" for w in graph.NOT_NAMES) + ")"
@@ -384,6 +412,57 @@ def mirror_diff(spark, sf):
     return changes.mirror_diff(listing, old)
 
 
+_CONNECTORS = """
+l AS (SELECT 'drive' AS connector, CASE WHEN p_partkey % 13 = 5 THEN 'slack-p' ELSE 'd' END || CAST(p_partkey AS VARCHAR) AS file_id,
+        CASE WHEN p_partkey % 17 = 4 THEN NULL WHEN p_size > 40 THEN 'x' ELSE 'y' END AS fingerprint, CAST(p_partkey AS VARCHAR) || '.md' AS local_path FROM part WHERE p_partkey % 11 <> 3
+      UNION ALL SELECT 'slack', 'slack-' || CAST(c_custkey AS VARCHAR), md5(c_name), 'slack/' || CAST(c_custkey AS VARCHAR) || '.md' FROM customer WHERE c_custkey % 7 <> 2),
+i AS (SELECT 'd' || CAST(p_partkey AS VARCHAR) AS file_id, CASE WHEN p_partkey % 19 = 6 THEN NULL ELSE 'y' END AS fingerprint, CAST(p_partkey AS VARCHAR) || '.MD' AS local_path, p_partkey % 5 <> 2 AS on_disk FROM part WHERE p_partkey % 9 <> 1
+      UNION ALL SELECT 'slack-' || CAST(c_custkey AS VARCHAR), CASE WHEN c_custkey % 3 = 0 THEN 'old' ELSE md5(c_name) END, 'slack/' || CAST(c_custkey AS VARCHAR) || '.md', true FROM customer WHERE c_custkey % 8 <> 5
+      UNION ALL SELECT 'local-' || CAST(s_suppkey AS VARCHAR), 'z', CAST(s_suppkey AS VARCHAR), true FROM supplier),
+own AS (SELECT * FROM l WHERE starts_with(file_id, 'slack-') = (connector = 'slack') AND fingerprint IS NOT NULL),
+act AS (SELECT file_id, o.fingerprint AS nf, i.fingerprint AS of, i.file_id IS NOT NULL AS had, i.on_disk, lower(o.local_path) AS np, lower(i.local_path) AS op
+        FROM (SELECT DISTINCT file_id FROM l) x FULL JOIN i USING (file_id) LEFT JOIN own o USING (file_id)),
+done AS (SELECT file_id, CASE WHEN starts_with(file_id, 'slack-') THEN 'slack' WHEN starts_with(file_id, 'local-') THEN 'local' ELSE 'drive' END AS connector,
+  CASE WHEN nf IS NOT NULL THEN CASE WHEN NOT had THEN 'added' WHEN nf = of AND np = op AND on_disk THEN 'skipped' ELSE 'changed' END
+       WHEN NOT had THEN 'refused' WHEN starts_with(file_id, 'local-') THEN 'held' WHEN of IS NULL THEN 'foreign' ELSE 'removed' END AS action, nf, of FROM act)"""
+
+
+def connector_tables(spark, sf):
+    """Listings of two talking connectors and the inventory of three; the third lists nothing."""
+    p, c, s = table(spark, sf, "part"), table(spark, sf, "customer"), table(spark, sf, "supplier")
+    k, ck = F.col("p_partkey"), F.col("c_custkey")
+    pk, cust = k.cast("string"), ck.cast("string")
+    chat_path = F.concat(F.lit("slack/"), cust, F.lit(".md"))
+    drive = p.filter(k % 11 != 3).select(
+        F.lit("drive").alias("connector"), F.concat(F.when(k % 13 == 5, "slack-p").otherwise("d"), pk).alias("file_id"),
+        F.when(k % 17 != 4, F.when(F.col("p_size") > 40, "x").otherwise("y")).alias("fingerprint"), F.concat(pk, F.lit(".md")).alias("local_path"))
+    slack = c.filter(ck % 7 != 2).select(F.lit("slack").alias("connector"), F.concat(F.lit("slack-"), cust).alias("file_id"),
+                                         F.md5("c_name").alias("fingerprint"), chat_path.alias("local_path"))
+    known = (p.filter(k % 9 != 1).select(F.concat(F.lit("d"), pk).alias("file_id"), F.when(k % 19 != 6, F.lit("y")).alias("fingerprint"),
+                                         F.concat(pk, F.lit(".MD")).alias("local_path"), (k % 5 != 2).alias("on_disk"))
+             .unionByName(c.filter(ck % 8 != 5).select(
+                 F.concat(F.lit("slack-"), cust).alias("file_id"), F.when(ck % 3 == 0, "old").otherwise(F.md5("c_name")).alias("fingerprint"),
+                 chat_path.alias("local_path"), F.lit(True).alias("on_disk")))
+             .unionByName(s.select(F.concat(F.lit("local-"), F.col("s_suppkey").cast("string")).alias("file_id"), F.lit("z").alias("fingerprint"),
+                                   F.col("s_suppkey").cast("string").alias("local_path"), F.lit(True).alias("on_disk"))))
+    return drive.unionByName(slack), known
+
+
+@query("connector_union", f"WITH {_CONNECTORS} SELECT file_id, connector, action FROM done")
+def connector_union(spark, sf):
+    listings, known = connector_tables(spark, sf)
+    return connectors.reconcile(listings, known, ["drive", "slack", "local"])
+
+
+@query("connector_inventory", f"""WITH {_CONNECTORS} SELECT file_id, coalesce(CASE WHEN action IN ('added', 'changed') THEN nf END, of) AS fingerprint FROM done
+WHERE action NOT IN ('removed', 'refused')""")
+def connector_inventory(spark, sf):
+    """The inventory after the actions: nothing of a silent connector or of hand-made entries is lost."""
+    listings, known = connector_tables(spark, sf)
+    actions = connectors.reconcile(listings, known, ["drive", "slack", "local"])
+    return connectors.union_inventory(listings, known, actions).select("file_id", "fingerprint")
+
+
 @query("index_changes", """SELECT 'p' || CAST(p_partkey AS VARCHAR) AS path, CASE WHEN p_partkey % 7 = 1 THEN 'added' WHEN p_partkey % 7 = 2 THEN 'removed'
   WHEN p_partkey % 7 = 3 THEN 'updated' ELSE 'unchanged' END AS action FROM part""")
 def index_changes(spark, sf):
