@@ -64,22 +64,25 @@ def cut_repeats(rows, size=20):
     return out
 
 
-def delete_lines(rows, min_chars=40, long_chars=120):
-    first, held = {}, []
+def delete_lines(rows, min_chars=40):
+    seen, held = {}, []
     for i, t in sorted(rows):
         lines = (t or "").split("\n")
         trimmed = [x.strip(" \t\n\x0b\x0c\r") for x in lines]
-        runs = []
-        for p, x in enumerate(trimmed):
-            if len(x) >= long_chars:
-                runs.append(((x,), p))
-            if p + 1 < len(lines) and len(x) + len(trimmed[p + 1]) >= min_chars:
-                runs.append(((x, trimmed[p + 1]), p))
-        for key, p in runs:
-            first.setdefault(key, (i, p))
-        held.append((i, lines, runs))
+        for p in range(len(lines)):
+            for size in (1, 2):
+                seen.setdefault(tuple(trimmed[p:p + size]) if p + size <= len(lines) else None, (i, p))
+        held.append((i, lines, trimmed))
     out = {}
-    for i, lines, runs in held:
-        gone = {p + k for key, p in runs if first[key] < (i, p) for k in range(len(key))}
-        out[i] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(lines), len(gone))
+    for i, lines, x in held:
+        gone = {p for p in range(len(x)) if len(x[p]) >= min_chars and seen[(x[p],)] < (i, p)}
+        p = 0
+        while p < len(x):
+            q = p
+            while q + 1 < len(x) and seen[(x[q], x[q + 1])] < (i, q):
+                q += 1
+            if q > p and sum(map(len, x[p:q + 1])) >= min_chars:
+                gone.update(range(p, q + 1))
+            p = q + 1
+        out[i] = ("\n".join(y for k, y in enumerate(lines) if k not in gone), len(lines), len(gone))
     return out

@@ -51,6 +51,24 @@ def test_lines_match_brute_force(make_docs, sample_docs):
         assert sum(x[2] for x in got.values()) > 5
 
 
+def test_runs_are_measured_whole(make_docs):
+    short = "\n".join(f"line {i:05d}" for i in range(200))
+    notice = "This page is provided by the archive for readers; see the terms before reuse."
+    rows = [(1, short), (2, short), (3, f"one\n{notice}\ntwo"), (4, f"three\n{notice}\nfour"), (5, "hello\n\nfive"), (6, "hello\n\nsix"),
+            (7, "\n".join(str(i) for i in range(8))), (8, "\n".join(str(i) for i in range(8))), (9, "zz\n" * 60), (10, "x" * 200_000 + "\nb"),
+            (11, "a\n" + "x" * 200_000)]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in lines.digest(make_docs(rows)).collect()}
+    assert got == brute.delete_lines(rows)
+    removed = {i: x[2] for i, x in got.items()}
+    assert (removed[1], removed[2], removed[3], removed[4], removed[6], removed[8], removed[10], removed[11]) == (0, 200, 0, 1, 0, 0, 0, 1)
+
+
+def test_rows_that_repeat_a_doc_id_share_places(make_docs):
+    long = "a line of more than forty characters, which stands alone"
+    rows = [(1, long), (2, "x\ny\n" + long), (2, "q")]
+    assert sorted((r.doc_id, r.text) for r in lines.digest(make_docs(rows)).collect()) == [(1, long), (2, "q"), (2, "x\ny")]
+
+
 def test_lines_stage_drops_only_emptied_documents(make_docs):
     long = "a sentence of many words that goes on and on until it is long enough to count as one run by itself, indeed longer than that"
     rows = [(1, long + " one\nsecond"), (2, long + " one\nother end"), (3, "first line here\n" + long + " one"), (4, long + " one"),
