@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourceloom.functions.lets import none_if_blank
+from sourceloom.sources.records import read_records
 
 # Envelope keys of a drive listing and the field names its versions use.
 ENVELOPES = ["files", "items", "entries", "result", "results", "data"]
@@ -34,15 +35,9 @@ def parent_ids(raw: Column) -> Column:
 
 
 def drive_listing(spark: SparkSession, path: str) -> DataFrame:
-    """Normalised rows of listing payloads (JSON documents, any envelope)."""
-    raw = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
-    records = "array<map<string,string>>"
-    wrapped = F.from_json("v", "map<string,string>")
-    listed = F.coalesce(*[F.when(F.try_element_at(wrapped, F.lit(k)).startswith("["),
-                                 F.from_json(F.try_element_at(wrapped, F.lit(k)), records)) for k in ENVELOPES])
-    items = F.when(F.col("v").startswith("["), F.from_json("v", records)).otherwise(
-        F.coalesce(listed, F.when(first_field(wrapped, FIELDS["file_id"]).isNotNull(), F.array(wrapped)), F.array().cast(records)))
-    df = raw.select(F.explode(items).alias("r"))
+    """Normalised rows of listing payloads (JSON documents, any envelope), read record by record."""
+    df = (read_records(spark, path, ENVELOPES).filter(F.ltrim("record").startswith("{"))
+          .select(F.from_json("record", "map<string,string>").alias("r")))
     parents = F.coalesce(*[F.try_element_at("r", F.lit(k)) for k in ("parents", "parentIds", "parentId")])
     return (df.select(*[first_field(F.col("r"), names).alias(c) for c, names in FIELDS.items()], parent_ids(parents).alias("parent_ids"))
             .filter(F.col("file_id").isNotNull()).withColumn("parent_id", F.get("parent_ids", F.lit(0))))
@@ -58,23 +53,25 @@ def resolve_folder(listing: DataFrame, name: str) -> str:
 
 
 def chat_export(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(messages, users) of an unpacked export: ``<channel>/<YYYY-MM-DD>.json`` and ``users.json``.
+    """(messages, users) of an export: ``<channel>/<YYYY-MM-DD>.json`` and ``users.json``, in a folder or a zip archive.
 
-    A malformed day file is skipped.
+    A malformed day file, or one that is not a list, is skipped.  Archives are read where they lie.
     """
     from sourceloom.operators.chat import display_name
+
+    def payloads(pattern: str) -> DataFrame:
+        found = (read_records(spark, root, [], members=pattern) if root.endswith(".zip") else read_records(spark, f"{root}/{pattern}", []))
+        return found.filter(F.col("listed") & F.col("record").startswith("{")).withColumn("file", F.coalesce("member", "path"))
+
     message = "ts string, user string, username string, text string, thread_ts string, files array<map<string,string>>"
-    days = spark.read.text(f"{root}/*/????-??-??.json", wholetext=True).select(
-        F.regexp_extract("_metadata.file_path", r"/([^/]+)/[^/]+$", 1).alias("channel"),
-        F.regexp_extract("_metadata.file_name", r"^(\d{4}-\d{2})", 1).alias("month"),
-        F.from_json("value", f"array<struct<{message.replace(' array', ':array').replace(' string', ':string')}>>").alias("m"))
-    messages = (days.select("channel", "month", F.explode("m").alias("m"))
-                .select("channel", "month", "m.ts", F.coalesce("m.user", F.lit("")).alias("user"), "m.username",
+    days = (payloads("*/????-??-??.json").select(
+        F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("channel"), F.regexp_extract("file", r"(\d{4}-\d{2})-\d{2}\.json$", 1).alias("month"),
+        F.from_json("record", message).alias("m")))
+    messages = (days.select("channel", "month", "m.ts", F.coalesce("m.user", F.lit("")).alias("user"), "m.username",
                         F.coalesce("m.text", F.lit("")).alias("text"), "m.thread_ts",
                         (F.size(F.coalesce("m.files", F.array().cast("array<map<string,string>>"))) > 0).alias("has_files")))
-    person = "id:string,name:string,profile:struct<display_name:string,real_name:string>"
-    users = (spark.read.text(f"{root}/users.json", wholetext=True)
-             .select(F.explode(F.from_json("value", f"array<struct<{person}>>")).alias("u"))
+    person = "id string, name string, profile struct<display_name: string, real_name: string>"
+    users = (payloads("users.json").select(F.from_json("record", person).alias("u"))
              .select("u.id", display_name(F.col("u")).alias("display")))
     return messages, users
 
