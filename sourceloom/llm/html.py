@@ -1,11 +1,14 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree of elements; menus, headers, footers, sidebars, notices, adverts, forms, scripts and
-reader comments are recognised by element or by the words of class, id and role, and taken out.  Every
+reader comments are recognised by element or by the names in class, id and role, and taken out; a name counts as a
+whole (``share-buttons`` is taken out, ``share-price`` is not).  Every
 paragraph passes points for its length and its commas to its parent and, by half, to its grandparent.  An
 element's points are discounted by its share of link text.  The element with most points is the container;
-the article or main element around it, if any, replaces it; and siblings that score near it, or are plain
-paragraphs of prose, are kept with it.  All text blocks of what is kept come out in page order.
+the article or main element around it, if any, replaces it.  Its siblings are kept with it when they score near it
+or hold prose, lists, tables or headings with few links, whatever element they are; and where a wrapper around it
+holds such prose elsewhere, the wrapper's children are kept alike, up to the body.  All text blocks of what is kept
+come out in page order.
 
 Rows: null html is empty, without text the result is empty; unclosed, crossed and cut-off markup is read as
 browsers do (an element ends where its parent does); pages of any length are read whole; an empty table gives
@@ -38,19 +41,29 @@ SIDE = frozenset("""ad ads adv advert adverts advertisement advertisements adver
 breadcrumb breadcrumbs comment comments commentlist disqus respond reply replies discussion cookie cookies consent gdpr notice notices
 alert popup modal overlay newsletter subscribe subscription signup login menu nav navbar navigation pager pagination paging sidebar
 sidebars aside rail widget widgets footer foot header masthead topbar toolbar share sharing social related recommended recommendations
-outbrain taboola search searchbox skip skiplink form tags taglist copyright legal disclaimer""".split())
-#: An element whose class or id has one of these words is never taken out by the words above.
+outbrain taboola search searchbox skip skiplink form tags taglist copyright legal disclaimer adsbygoogle""".split())
+#: Words that a name of such an element may have beside them; numbers and single letters too.
+NEUTRAL = frozenset("""area bar bars block blocks box boxes btn button buttons card cards col column container content group holder icon icons
+inner inline item items js left link links list module outer page panel primary region right row secondary section site slot small
+sticky sub thread top bottom unit user users view web wp wrap wrapper global mobile desktop field input label title""".split())
+#: A name of these words (and neutral ones) marks the article: it is not taken out for other names beside it.
 MAIN = frozenset("article main content body post entry story text".split())
+#: Names of these words are taken out even so.
+STRONG = frozenset("comment comments sidebar ad ads".split())
+#: Low-link blocks that belong to prose beside them without being prose.
+COMPANIONS = frozenset("ul ol dl table blockquote pre figure h1 h2 h3 h4 h5 h6 p".split())
 #: An open element of the key ends when one of the values starts.
 _ENDS_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend"}
 _ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"}, "tr": {"tr", "tbody", "tfoot", "thead"},
              "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}}
 _SCOPE = frozenset("table td th ul ol dl div section article main body".split())
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+# A quote opens a value only right after the equals sign; elsewhere it is a character like others.
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
+                     r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)|[^>])*+)>"
                      r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-_MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
@@ -124,26 +137,41 @@ class Page:
 
     def _is_side(self, parent: int, tag: str, rest: str) -> bool:
         if tag in ("html", "body", "article", "main"):
-            return tag == "article" and bool(self._marks(rest)[0] & {"comment", "comments", "ad", "advert", "related", "reply"})
+            names = self._attributes(rest) if tag == "article" and rest else {}
+            return any(self._names_side(set(_WORDS.findall(n.lower()))) for v in ("class", "id") for n in names.get(v, "").split())
         if tag == "header":                                     # an article's own header may hold its title
             return not any(self.tags[e] in ("article", "main") for e in self._up(parent))
         if tag in NEVER:
             return True
         if not rest:
             return False
-        if _HIDDEN.search(rest):
+        names, marks = self._attributes(rest), []
+        if ("hidden" in names and names["hidden"].lower() != "false" or names.get("aria-hidden", "").strip().lower() == "true"
+                or _UNSEEN.search(names.get("style", ""))):
             return True
-        named, role = self._marks(rest)
-        return bool(role & ROLES) or bool(named & SIDE) and not (named & MAIN and not named & {"comment", "comments", "sidebar", "ad", "ads"})
+        if set(_WORDS.findall(names.get("role", "").lower())) & ROLES:
+            return True
+        for value in (names.get("class", ""), names.get("id", "")):
+            for name in value.split():
+                words = _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower())
+                marks.append({w for w in words if len(w) > 1 and not w.isdigit()})
+        protected = any(w & MAIN and w <= MAIN | NEUTRAL for w in marks)
+        return any(self._names_side(w) and (not protected or w & STRONG) for w in marks)
+
+    @staticmethod
+    def _names_side(words: set[str]) -> bool:
+        """Whether a name consists of side words; an article's own header and footer names do not count."""
+        found = words & SIDE
+        return bool(found) and words <= SIDE | NEUTRAL | MAIN and not (words & MAIN - {"content", "text"} and found <= {"header", "head", "masthead"})
 
     @staticmethod
-    def _marks(rest: str) -> tuple[set[str], set[str]]:
-        named: set[str] = set()
-        role: set[str] = set()
-        for m in _MARKS.finditer(rest):
-            value = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", m[2] or m[3] or m[4] or "").lower()
-            (role if m[1].lower() == "role" else named).update(_WORDS.findall(value))
-        return named, role
+    def _attributes(rest: str) -> dict[str, str]:
+        """Attributes as browsers read them: names without case, the first of equal names counts."""
+        found: dict[str, str] = {}
+        for m in _ATTRIBUTE.finditer(rest):
+            value = m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] or ""
+            found.setdefault(m[1].lower(), unescape(value) if "&" in value else value)
+        return found
 
     def _up(self, element: int) -> Iterator[int]:
         while element > 0:
@@ -189,18 +217,34 @@ class Page:
         if around:
             best = around[-1] if self.tags[around[-1]] == "article" else around[0]
         chosen = {best}
-        for e in range(1, count):
-            if self.parents[e] == self.parents[best] and e != best and not self.side[e]:
-                near = scores[e] >= max(10.0, 0.2 * scores[best])
-                prose = self.tags[e] in PARAGRAPHS and (chars[e] > 80 and density[e] < 0.25 or 0 < chars[e] <= 80 and not links[e])
-                title = self.tags[e] in HEADINGS and not around
-                if (near and not around) or (prose and not around) or title or (around and self.tags[e] == self.tags[best] and near):
+        children: list[list[int]] = [[] for _ in range(count)]
+        prose = [points[e] > 0 and density[e] < 0.33 for e in range(count)]          # holds low-link prose
+        for e in range(count - 1, 0, -1):
+            children[self.parents[e]].append(e)
+            prose[self.parents[e]] |= prose[e] and not self.side[self.parents[e]]
+        if around:
+            for e in children[self.parents[best]]:
+                if e != best and not self.side[e] and self.tags[e] == self.tags[best] and scores[e] >= 0.2 * scores[best]:
                     chosen.add(e)
+        else:
+            self._keep_around(best, chosen, children, chars, density, prose, scores)
         inside = [False] * count
         for e in range(count):
             inside[e] = (e in chosen or (e > 0 and inside[self.parents[e]])) and not self.side[e]
         return inside
 
+    def _keep_around(self, best: int, chosen: set[int], children: list[list[int]], chars: list[int], density: list[float],
+                     prose: list[bool], scores: list[float]) -> None:
+        """Siblings of the container, and of the wrappers around it that hold prose elsewhere."""
+        node = best
+        while (up := self.parents[node]) >= 0:
+            beside = [e for e in children[up] if e != node and not self.side[e] and chars[e]]
+            low = [e for e in beside if density[e] < 0.33 and (prose[e] or self.tags[e] in COMPANIONS) or self.tags[e] in HEADINGS
+                   or node == best and scores[e] >= 0.2 * scores[best]]
+            if node == best or self.tags[up] not in ("#root", "html", "body") and any(prose[e] for e in low):
+                chosen.update(low)
+            node = up
+
     def text(self) -> str:
         inside = self.kept()
         blocks, parts = [], []
