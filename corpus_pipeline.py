@@ -27,9 +27,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: shingles of five words at Jaccard similarity 0.8 or more."""
+    """One document of each near-duplicate group stays: the groups of op6, fingerprints linked at two bits or fewer."""
     prepare(spark)
-    return simhash.representatives(docs, size=5, similarity=0.8)
+    return simhash.representatives(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -106,3 +106,18 @@ def test_clashing_columns_and_empty_tables(spark, make_docs, tmp_path):
             assert current.columns == columns, name
             current = spark.createDataFrame(current.collect(), current.schema)
         corpus_pipeline.STAGES[-1][1](spark, current, str(tmp_path)).collect()
+
+
+def test_near_duplicates_are_the_groups_of_fingerprints(spark, make_docs):
+    """A pair two bits apart is one group though its five-word shingles fall below Jaccard 0.8; one further apart is not."""
+    words = [f"w{k}" for k in range(400)]
+    texts = {1: words}
+    for seed in (74, 245):
+        texts[seed] = list(words)
+        for k in range(9):
+            texts[seed][40 * k + 5 + seed % 30] = f"n{seed}x{k}"
+    rows = [(i, " ".join(text)) for i, text in texts.items()]
+    apart = [(brute.simhash(text) ^ brute.simhash(rows[0][1])).bit_count() for _, text in rows]
+    assert apart == [0, 2, 14]
+    kept = corpus_pipeline.drop_near_duplicates(spark, make_docs(rows), "").collect()
+    assert sorted(r.doc_id for r in kept) == [1, 245]
