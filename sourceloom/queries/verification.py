@@ -292,7 +292,8 @@ SELECT o_orderkey, raw, round(CASE o_orderkey % 6 WHEN 1 THEN CAST(replace(raw,
 def parse_numbers(spark, sf):
     k, price = F.col("o_orderkey") % 6, F.col("o_totalprice")
     raw = (F.when(k == 0, F.concat(F.lit("$"), F.format_string("%.2f", price)))
-           .when(k == 1, F.concat(F.format_string("%.1f", price / 1000), F.lit("k")))
+           # rounds the value itself; format_string rounds its shortest decimal text half up
+           .when(k == 1, F.concat(F.call_function("format_number", price / 1000, F.lit("0.0")), F.lit("k")))
            .when(k == 2, F.replace(F.format_string("%.2f", price), F.lit("."), F.lit(",")))
            .when(k == 3, F.concat(F.floor(price).cast("string"), F.lit(" USD")))
            .when(k == 4, F.concat(F.lit("1."), F.lpad((F.col("o_orderkey") % 1000).cast("string"), 3, "0"), F.lit(".000")))

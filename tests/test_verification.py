@@ -49,3 +49,12 @@ def test_answers(spark):
     pages = spark.createDataFrame([("p1", "T", "The arr was\n512000 in March")], "path string, title string, body string")
     got = {r["answer_id"]: r["verdict"] for r in ops.verify_answers(answers, pages).collect()}
     assert got == {1: "verified", 2: "partial", 3: "partial", 4: "verified", 5: "failed"}
+
+
+def test_thousands_are_rounded_by_value(spark, tmp_path):
+    """327.95 as a double lies below the tie, 496.25 on it: one decimal of the value itself, ties to even."""
+    from sourceloom.queries.verification import parse_numbers
+    rows = [(1, 327950.0, "O"), (7, 496250.0, "O"), (13, 1234567.0, "O"), (19, 850.0, "O"), (0, 2.5, "F")]
+    spark.createDataFrame(rows, "o_orderkey long, o_totalprice double, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    found = {r["o_orderkey"]: (r["raw"], r["value"]) for r in parse_numbers(spark, str(tmp_path)).collect()}
+    assert found == {1: ("327.9k", 327900.0), 7: ("496.2k", 496200.0), 13: ("1234.6k", 1234600.0), 19: ("0.8k", 800.0), 0: ("$2.50", 2.5)}
