@@ -28,6 +28,19 @@ def _join_wrapped_suffix(text: Column) -> Column:
     return F.when(wrapped, second).otherwise(text)
 
 
+# a figure, a month, what may stand between a month and its year, or the wrapped suffix of a figure
+_TELLING = rf"\p{{Nd}}|{periods.CANDIDATE}|^(?:bn|[kKmMbB])(?![{WORD}])|^%|^(?:{WS}|[,of])*$"
+
+
+def telling_lines(text: Column) -> Column:
+    """The text with every line that cannot hold a part of a figure or of a period reduced to one letter.
+
+    A period that runs over several lines begins with a month or a digit and ends in a year; between them stand
+    blanks, commas and "of" only.  So the costly patterns see few characters and find the same.
+    """
+    return F.array_join(F.transform(F.split(text, "\n"), lambda line: F.when(line.rlike(_TELLING), line).otherwise("x")), "\n")
+
+
 def marked_lines(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     """One row per line with a figure: ``line`` (unmarked), ``marked`` and its period ``signals``."""
     marked = periods.scan_periods(_join_wrapped_suffix(F.coalesce(text, F.lit(""))))["text"]
@@ -66,6 +79,8 @@ def unanchored_figures(df: DataFrame, keys: list[str], body: Column, hay: Column
     silent about periods, and the distinct periods seen.  The calendar bounds that set, so no
     occurrence-by-occurrence pairing happens.
     """
+    df = df.select(*keys, telling_lines(body).alias("_body"), telling_lines(hay).alias("_hay"))
+    body, hay = F.col("_body"), F.col("_hay")
     body_lines = marked_lines(df, keys, body).filter(F.size("signals") > 0)
     tokens = F.filter(F.regexp_extract_all(F.col("marked"), F.lit(_MARKED_FIGURE), F.lit(0)),
                       lambda t: ~t.rlike(periods.SHADOWED) & ~numbers.is_weak(t))
@@ -135,7 +150,7 @@ def verify_pages(pages: DataFrame, keys: list[str], body: str = "body", source:
     Each step is a column of its own that later steps read more than once, so none is evaluated inside a lambda.
     """
     hay = F.concat(F.coalesce(F.col(source), F.lit("")), F.lit("\n"), F.coalesce(F.col(context), F.lit("")))
-    rows = pages.select(*keys, F.col(body).alias("_body"), hay.alias("_hay"))
+    rows = pages.select(*keys, telling_lines(F.col(body)).alias("_body"), telling_lines(hay).alias("_hay"))
     rows = rows.withColumns({"_shown": shown_figures(F.col("_body")), "_pool": numbers.evidence_keys(F.col("_hay")),
                              "_asserted": asserted_figures(F.col("_body"))})
     rows = rows.withColumn("_wanted", F.array_distinct(F.flatten(F.transform("_asserted", lambda x: x["keys"]))))

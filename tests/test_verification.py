@@ -58,3 +58,15 @@ def test_thousands_are_rounded_by_value(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderkey long, o_totalprice double, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
     found = {r["o_orderkey"]: (r["raw"], r["value"]) for r in parse_numbers(spark, str(tmp_path)).collect()}
     assert found == {1: ("327.9k", 327900.0), 7: ("496.2k", 496200.0), 13: ("1234.6k", 1234600.0), 19: ("0.8k", 800.0), 0: ("$2.50", 2.5)}
+
+
+def test_only_telling_lines_are_searched(spark, monkeypatch):
+    """Lines without a part of a figure or a period shrink to a letter; verdicts stay those of the whole texts."""
+    long = "plain words that say nothing, " * 50
+    odd = ["ARR was 512000 in Jan\n,\n2026", "In Q1\n of\n\n2026 ARR was 512000", "Revenue was 480\nk in January\n 2026", "It was 480\n% of\nmarket\nk in May",
+           "$1 200\n000 and 512000\nmany", "1250\n(foo) 77\n.bar", "May we ask\nof 2026-03, 1310 users\r\nQ2", "", "no figures\nat all"]
+    cases = [(f"{long}\n{body}\n{long}\n{more}", f"{long}\n{KPI}\n{source}\n{long}", "x") for body in odd for more in ("", "42%") for source in ("", *odd[:3])]
+    assert spark.range(1).select(ops.telling_lines(F.lit(cases[0][0]))).first()[0] == "x\nARR was 512000 in Jan\n,\n2026\nx\n"
+    thin = verdicts(spark, cases)
+    monkeypatch.setattr(ops, "telling_lines", lambda text: text)
+    assert thin == verdicts(spark, cases)
