@@ -163,7 +163,8 @@ def parse_num(raw: Column) -> Column:
         return F.when(trimmed.rlike(r"^[-+]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)$"), trimmed.try_cast("double"))
 
     gate = rf"^[-+]?[{DIGIT}.,\s\x{{1c}}-\x{{1f}}\x{{85}}\x{{2000}}-\x{{200a}}]+(?:[kKmMbB]|bn)?$"
-    # plain decimals, the bulk of all cells, need none of the above
+    # plain decimals, alone or before a currency code, the bulk of all cells, need none of the above
     plain = raw.rlike(r"^[-+]?[0-9]+(?:[.][0-9]+)?$")
-    return F.when(plain, raw.try_cast("double")).otherwise(
+    money = raw.rlike(r"\A[-+]?[0-9]+(?:[.][0-9]+)? (?:USD|EUR|GBP)\z")
+    return F.when(plain, raw.try_cast("double")).when(money, F.substring_index(raw, " ", 1).try_cast("double")).otherwise(
         let(cleaned, lambda t: F.when(t.rlike(gate) & t.rlike(DIGIT), value(t))))
