@@ -1,30 +1,34 @@
 """Claim checks: each paragraph against its best source window."""
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from sourceloom.functions.lets import let
-from sourceloom.functions.words import content_tokens, split_claims, strip_page_chrome
+from sourceloom.functions.words import CLAIM_STOP_WORDS, split_claims, strip_page_chrome
 
 # Window geometry and the support threshold of the offline judge.
 WINDOW_CHARS, WINDOW_STEP, SUPPORT = 1200, 300, 0.7
 
-
-def window_starts(source: Column) -> Column:
-    last = F.greatest(F.length(source) - WINDOW_CHARS // 2, F.lit(1)) - 1
-    return F.sequence(F.lit(0), last.cast("int"), F.lit(WINDOW_STEP))
+_RUN, _WORD = re.compile("[a-z0-9]+"), re.compile("[a-z0-9]{3,}")
 
 
 def best_window(bitmaps: list[int]) -> tuple[int, int]:
     """(window, number of bitmaps that hold it) of the window in most of the bitmaps, the earliest of several.
 
-    Bitmaps are added as columns of bits: plane k holds bit k of every window's count.
+    Mostly one window holds them all.  Otherwise bitmaps are added as columns of bits: plane k holds bit k of every
+    window's count.
     """
+    among = -1 if bitmaps else 0
+    for bitmap in bitmaps:
+        among &= bitmap
+    if among:
+        return (among & -among).bit_length() - 1, len(bitmaps)
     planes: list[int] = []
     for carry in bitmaps:
         for k, plane in enumerate(planes):
@@ -40,25 +44,59 @@ def best_window(bitmaps: list[int]) -> tuple[int, int]:
     return ((among & -among).bit_length() - 1, held) if held else (0, 0)
 
 
+def window_words(source: str, spoken: set[str]) -> dict[str, int]:
+    """Bitmap of the windows that hold a word, for the words of ``spoken``.
+
+    Windows are whole steps long, so the text is read once, step by step; only a run of letters across the border of
+    two steps is cut by the edges of windows, and is looked at window by window.
+    """
+    windows = (max(len(source) - WINDOW_CHARS // 2, 1) - 1) // WINDOW_STEP + 1
+    span = WINDOW_CHARS // WINDOW_STEP
+    steps = [source[i:i + WINDOW_STEP].lower() for i in range(0, len(source), WINDOW_STEP)]     # lower case may be longer
+    text, ends = "".join(steps), list(accumulate(map(len, steps)))
+    starts = [0, *ends]
+    where: dict[str, int] = {}
+    done = 0
+    for i, end in enumerate(ends):
+        if done >= end:
+            continue
+        cut, run = end, _RUN.match(text, end)
+        while run and cut > done and _RUN.match(text[cut - 1]):
+            cut -= 1
+        first, last = max(i - span + 1, 0), min(i, windows - 1)
+        bits = (1 << last + 1) - (1 << first)
+        for word in spoken.intersection(_WORD.findall(text, done, cut)):
+            where[word] = where.get(word, 0) | bits
+        done = end
+        if cut < end:
+            done = run.end()
+            for k in range(first, windows):
+                if starts[k] >= done:
+                    break
+                word = text[max(cut, starts[k]):min(done, ends[min(k + span, len(ends)) - 1])]
+                if word in spoken:
+                    where[word] = where.get(word, 0) | 1 << k
+    return where
+
+
 def _place(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per page one map from words to the windows that hold them; each claim adds the bitmaps of its words."""
+    stop = set(CLAIM_STOP_WORDS)
     for part in parts:
-        keys, row, number, claims, starts, held, words = part.schema.names[:-2], [], [], [], [], [], []
-        for i, (windows, own) in enumerate(zip(part.column("windows").to_pylist(), part.column("claims").to_pylist(), strict=True)):
-            where: dict[str, int] = {}
-            for k, window in enumerate(windows):
-                for word in window:
-                    where[word] = where.get(word, 0) | 1 << k
-            for n, c in enumerate(own):
-                window, most = best_window([where[w] for w in c["want"] if w in where])
+        keys, row, number, starts, held, words = part.schema.names[:-2], [], [], [], [], []
+        claims = part.column("claims")
+        for i, (source, own) in enumerate(zip(part.column("text").to_pylist(), claims.to_pylist(), strict=True)):
+            wanted = [set(_WORD.findall(claim.lower())) - stop for claim in own or ()]
+            where = window_words(source, set().union(*wanted)) if wanted else {}
+            for n, want in enumerate(wanted):
+                window, most = best_window([where[w] for w in want if w in where])
                 row.append(i)
                 number.append(n)
-                claims.append(c["claim"])
                 starts.append(window * WINDOW_STEP)
                 held.append(most)
-                words.append(len(c["want"]))
+                words.append(len(want))
         yield pa.RecordBatch.from_arrays(
-            [*[part.column(k).take(pa.array(row, pa.int32())) for k in keys], pa.array(number, pa.int32()), pa.array(claims, pa.string()),
+            [*[part.column(k).take(pa.array(row, pa.int32())) for k in keys], pa.array(number, pa.int32()), claims.flatten(),
              pa.array(starts, pa.int32()), pa.array(held, pa.int32()), pa.array(words, pa.int32())],
             [*keys, "claim_no", "claim", "best", "held", "words"])
 
@@ -67,21 +105,14 @@ def anchor_claims(pages: DataFrame, keys: list[str], body: str = "body", source:
                   max_claims: int | None = None) -> DataFrame:
     """Per claim: the earliest source window holding the largest share of its content words.
 
-    All work stays in the page's own row.  The words of the windows, cut down to words of the page's claims, are found by
-    expressions; they become one bitmap of windows for each word, and no claim is compared with a window by itself.
+    All work stays in the page's own row.  The claims are found by expressions; the words of the source that they speak
+    of become one bitmap of windows for each word, and no claim is compared with a window by itself.
     """
-    split = F.transform(split_claims(strip_page_chrome(F.col(body)), max_claims=max_claims),
-                        lambda c: F.struct(c.alias("claim"), content_tokens(c).alias("want")))
+    claims = split_claims(strip_page_chrome(F.col(body)), max_claims=max_claims)
     text = F.coalesce(source, F.lit(""))
-
-    def judged(claims: Column) -> Column:
-        spoken = F.array_distinct(F.flatten(F.transform(claims, lambda c: c["want"])))
-        return let(spoken, lambda vocabulary: F.struct(F.transform(window_starts(text), lambda s: F.array_intersect(
-            content_tokens(F.substring(text, s + 1, F.lit(WINDOW_CHARS))), vocabulary)).alias("windows"), claims.alias("claims")))
-
-    rows = (pages.select(*keys, F.length(text).alias("source_len"), let(split, judged).alias("x"))
-            .select(*keys, "source_len", "x.windows", "x.claims").filter(F.size("claims") > 0))
-    fields = [f for f in rows.schema.fields if f.name not in ("windows", "claims")]
+    # pages without claims give no rows there; a filter here would split every page twice
+    rows = pages.select(*keys, F.length(text).alias("source_len"), text.alias("text"), claims.alias("claims"))
+    fields = [f for f in rows.schema.fields if f.name not in ("text", "claims")]
     placed = rows.mapInArrow(_place, StructType([*fields, StructField("claim_no", IntegerType()), StructField("claim", StringType()),
                                                  StructField("best", IntegerType()), StructField("held", IntegerType()),
                                                  StructField("words", IntegerType())]))

@@ -53,6 +53,27 @@ def test_anchors_match_plain(spark):
     assert {k: sorted(v) for k, v in got.items()} == want and len(want) > 10
 
 
+def test_window_words_match_windows_read_one_by_one():
+    """Runs cut by the edges of windows, runs longer than a window, letters whose lower case is longer or plain."""
+    r = random.Random(4)
+    sources = ["", "ab", "x" * 5000, "a" * 299 + " " + "b" * 301, "İ" * 700 + "abİcd " * 300, "Kelvin \u212aELVIN é" * 200]
+    sources += ["".join(r.choice("ab  zİ\u212aé9") for _ in range(r.choice([299, 300, 301, 601, 2500]))) for _ in range(60)]
+    sources += ["".join(r.choice(["q" * r.randint(1, 1500), " "]) for _ in range(12)) for _ in range(40)]
+    for source in sources:
+        windows = [set(re.findall("[a-z0-9]{3,}", source[s:s + claims.WINDOW_CHARS].lower()))
+                   for s in range(0, max(1, len(source) - claims.WINDOW_CHARS // 2), claims.WINDOW_STEP)]
+        spoken = set().union(*windows, ["never said"])
+        want = {w: sum(1 << k for k, held in enumerate(windows) if w in held) for w in spoken}
+        assert claims.window_words(source, spoken) == {w: bits for w, bits in want.items() if bits}
+        assert claims.window_words(source, set()) == {}
+
+
+def test_pages_are_split_once(spark):
+    """A filter on the claims would be pushed below them and split every page a second time."""
+    plan = claims.anchor_claims(spark.range(3).selectExpr("id", "string(id) AS body", "'x' AS source"), ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan
+
+
 def test_audit_names_what_cannot_be_checked(spark):
     claim = "revenue of the northern branch grew because of orders for copper wire"
     state = spark.createDataFrame([("a", "p/a", "processed"), ("b", "p/b", "processed"), ("c", "p/c", "processed"), ("d", None, "processed"),
