@@ -8,7 +8,7 @@ from sourceloom.operators import search as ops
 from sourceloom.operators.pages import parse_pages
 from sourceloom.queries.registry import query
 from sourceloom.queries.views import INDEX_SQL, QUESTION, index_pages, questions
-from sourceloom.session import shared_folder
+from sourceloom.session import cut_lineage, shared_folder
 
 _STOP = "(" + ",".join(f"'{w}'" for w in [
     "the", "a", "an", "in", "on", "of", "for", "and", "or", "to", "is", "are", "was", "were", "what", "which", "who", "how",
@@ -85,8 +85,9 @@ def page_lengths(spark, sf):
 @query("bm25_scores", f"WITH {_BM25} SELECT question_id, path, round(bm25, 5) + 0.0 AS bm25 FROM score")
 def bm25_scores(spark, sf):
     pages = index_pages(spark, sf)
-    asked = ops.ask_terms(questions(spark, sf))
-    scored = ops.bm25(asked, ops.build_postings(pages, terms=ops.question_words(asked)), ops.page_lengths(pages))
+    asked = cut_lineage(ops.ask_terms(questions(spark, sf)))
+    hits, lengths = ops.read_phrases(pages, asked.select(F.explode("phrases").alias("phrase")))
+    scored = ops.summed(asked, ops.hit_weights(hits, lengths))
     return scored.select("question_id", "path", (F.round("bm25", 5) + 0.0).alias("bm25"))
 
 
