@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourceloom.operators.changes import index_changes
-from sourceloom.operators.search import build_postings, page_lengths
+from sourceloom.operators.search import build_postings
 from sourceloom.session import cut_lineage
 from sourceloom.sinks.tables import passes, publish
 
@@ -105,7 +105,7 @@ def refresh(spark: SparkSession, root: str, pages: DataFrame, columns: list[str]
     if fresh:
         new = pages.join(actions.filter(F.col("action").isin("added", "updated")).select("path"), "path", "left_semi")
         described = new.select("path", F.col("mtime").cast("double").alias("mtime"), F.col("size").cast("long").alias("size"))
-        _write(spark, root, free, described.join(page_lengths(new, columns), "path"), build_postings(new, columns))
+        _write(spark, root, free, described, build_postings(new, columns))
         known[free] = (fresh, 0)
         free += 1
     while merged := due(known, fan):
@@ -114,7 +114,7 @@ def refresh(spark: SparkSession, root: str, pages: DataFrame, columns: list[str]
         known = {s: v for s, v in known.items() if s not in merged}
         tombstones = tombstones.filter(~F.col("segment").isin(merged))
         if left:
-            _write(spark, root, free, own.drop("segment"), found)
+            _write(spark, root, free, own.drop("segment", "len"), found)
             known[free] = (left, 0)
             free += 1
     publish(tombstones, root, "tombstones", number + 1)
@@ -123,5 +123,8 @@ def refresh(spark: SparkSession, root: str, pages: DataFrame, columns: list[str]
 
 
 def _write(spark: SparkSession, root: str, segment: int, pages: DataFrame, postings: DataFrame) -> None:
+    """A page is as long as its postings together: lengths are read from what is written, not from the texts again."""
     publish(postings, root, "segment_postings", segment)
-    publish(pages.select(F.lit(segment).alias("segment"), "path", "mtime", "size", "len"), root, "segment_pages", segment)
+    lengths = _read(spark, root, "segment_postings", segment).groupBy("path").agg(F.sum("tf").alias("len"))
+    described = pages.join(lengths, "path", "left").select(F.lit(segment).alias("segment"), "path", "mtime", "size", F.coalesce("len", F.lit(0).cast("long")).alias("len"))
+    publish(described, root, "segment_pages", segment)
