@@ -50,8 +50,10 @@ def dossier_changes(rollup: DataFrame, previous: DataFrame) -> DataFrame:
 def dossier_lines(members: DataFrame, facts: DataFrame) -> DataFrame:
     """Lines of every dossier: entity, section, k1, k2, line.
 
-    Writing the table sorted by its keys gives the document; no entity is gathered into one row.
+    Writing the table sorted by its keys gives the document; no entity is gathered into one row.  The lines are stored:
+    which entities have no figures is read from them, so the facts are worked out once.
     """
+    from sourceloom.session import cut_lineage
     owned = members.filter(F.coalesce("entity", F.lit("")) != "")
     rollup = owned.groupBy("entity").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("superseded_by", F.lit("")) == "").alias("cur"))
@@ -65,15 +67,17 @@ def dossier_lines(members: DataFrame, facts: DataFrame) -> DataFrame:
         F.concat_ws("|", "metric", F.coalesce("period", F.lit(""))).alias("k1"), F.col("source_ref").alias("k2"),
         F.concat(F.lit("- "), "metric", F.lit(" · "), F.coalesce("period", F.lit("-")), F.lit(" = "), "value_raw",
                  F.coalesce(F.concat(F.lit(" "), "unit"), F.lit("")), F.lit(" (source "), "source_ref", F.lit(")")).alias("line"))
-    without = (rollup.select("entity").join(current_facts.select("entity").distinct(), "entity", "left_anti")
-               .select("entity", F.lit(2).alias("section"), F.lit("").alias("k1"), F.lit("").alias("k2"),
-                       F.lit("No verified observations in the facts store.").alias("line")))
     documents = owned.select(
         "entity", F.lit(3).alias("section"), F.col("file_id").alias("k1"), F.lit("").alias("k2"),
         F.concat(F.lit("- "), "title",
                  F.when(F.coalesce("as_of", F.lit("")) != "", F.concat(F.lit(" — as of "), "as_of")).otherwise(""),
                  F.when(F.coalesce("superseded_by", F.lit("")) != "", F.lit(" *(superseded)*")).otherwise("")).alias("line"))
-    return status.unionByName(figures).unionByName(without).unionByName(documents)
+    lines = cut_lineage(status.unionByName(figures).unionByName(documents))
+    without = (lines.filter(F.col("section") == STATUS).select("entity")
+               .join(lines.filter(F.col("section") == FIGURES).select("entity").distinct(), "entity", "left_anti")
+               .select("entity", F.lit(2).alias("section"), F.lit("").alias("k1"), F.lit("").alias("k2"),
+                       F.lit("No verified observations in the facts store.").alias("line")))
+    return lines.unionByName(cut_lineage(without))
 
 
 def evidence_lines(members: DataFrame, lines: DataFrame) -> DataFrame:
@@ -89,13 +93,15 @@ def shown_figures(lines: DataFrame, evidence: DataFrame) -> DataFrame:
     """entity, display, backed: every figure of a dossier and whether evidence of its entity has its value.
 
     Rows are (entity, figure) and (entity, value), distinct on the map side, so an entity that owns a third of all
-    lines is spread over its values.
+    lines is spread over its values.  Dates and counts stand in many lines; only distinct figures are interpreted.
     """
     shown = (lines.select("entity", F.explode(numbers.figure_tokens(F.col("line"))).alias("token"))
              .filter(~numbers.is_weak(F.col("token")))
              .select("entity", numbers.display_of(F.col("token")).alias("display")).distinct()
              .withColumn("value_keys", numbers.token_keys(F.col("display"))))
-    pool = (evidence.select("entity", F.explode(numbers.evidence_keys(F.col("line"))).alias("value_key")).distinct()
+    written = evidence.select("entity", F.explode(numbers.figure_tokens(F.col("line"))).alias("token")).distinct()
+    grouped = evidence.select("entity", F.explode(numbers.spaced_group_keys(F.col("line"))).alias("value_key"))
+    pool = (written.select("entity", F.explode(numbers.token_keys(F.col("token"))).alias("value_key")).unionByName(grouped).distinct()
             .withColumn("held", F.lit(True)))
     # explode_outer: a figure without a readable value stays, and no evidence backs it
     return (shown.select("entity", "display", F.explode_outer("value_keys").alias("value_key"))
@@ -117,7 +123,7 @@ def dossier_documents(members: DataFrame, facts: DataFrame, generated_at: str) -
     gathered, so an entity may own any number of pages and figures.
     """
     from sourceloom.session import cut_lineage
-    body = cut_lineage(dossier_lines(members, facts))          # read three times: evidence, figures, document
+    body = dossier_lines(members, facts)          # stored, and read three times: evidence, figures, document
     figures = cut_lineage(shown_figures(body, evidence_lines(members, body)))
     rollup = entity_rollup(members).join(verdicts(figures), "entity", "left")
     doubted = figures.filter(~F.col("backed"))
