@@ -94,8 +94,9 @@ def near_links(nodes: DataFrame) -> DataFrame:
         marked = variants.join(crowded.withColumn("crowd", F.lit(True)), "key", "left")
         variants = marked.select("fp", "part", "bit", "key", F.explode(
             F.when(F.col("crowd"), cells).otherwise(F.array(F.lit(-1)))).alias("cell"))
-    a = variants.select(F.col("fp").alias("a"), "part", "bit", "key", "cell")
-    b = variants.select(F.col("fp").alias("b"), F.col("key").alias("key_b"), F.col("cell").alias("cell_b"))
+    # Sorted, never broadcast: the planner sizes variants as the fingerprints they are made of, 64 times too low.
+    a = variants.select(F.col("fp").alias("a"), "part", "bit", "key", "cell").hint("merge")
+    b = variants.select(F.col("fp").alias("b"), F.col("key").alias("key_b"), F.col("cell").alias("cell_b")).hint("merge")
     differ = F.col("a").bitwiseXOR(F.col("b"))
     low = F.bit_count(differ.bitwiseAND(F.lit(0xFFFFFFFF)))
     high = F.bit_count(F.shiftrightunsigned(differ, SEGMENT))
