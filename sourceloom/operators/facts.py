@@ -7,6 +7,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sourceloom.functions import numbers, periods
@@ -64,56 +65,63 @@ def validate_grid(proposals: DataFrame, grid: DataFrame, file_names: DataFrame |
     ``proposals`` carries ``proposal_no`` per file; ``file_names`` maps file_id to its name, which
     may also state the period.
     """
-    where = [*SHEET, "row", "col"]
+    where, column = [*SHEET, "row", "col"], [*SHEET, "col"]
     p = proposals
     if max_observations:
         p = p.filter(F.col("proposal_no") <= max_observations)
     p = p.withColumn("_want", cell_norm(F.col("metric_raw")))
-    # every cell is normalised and read for a period once, whatever number of proposals cite it
-    flat = cells(grid).withColumns({"_norm": cell_norm(F.col("value")), "_period": periods.parse_period(F.col("value"))})
-    located = p.join(flat.select(*where, F.col("value").alias("_cell"), F.col("_norm").alias("_cell_norm")), where, "left")
-    claimed, actual = numbers.parse_num(F.col("value_raw")), numbers.parse_num(F.col("_cell"))
-    value_ok = F.when(cell_norm(F.col("value_raw")) == F.col("_cell_norm"), True).otherwise(
+    # a row is normalised and read for periods once and meets its proposals once: its cell, label and period are looked
+    # up in it.  Rows that repeat their coordinates travel as one and count as often as each of them would
+    rows = (grid.select(*SHEET, "row", F.struct("values", F.transform("values", lambda c: cell_norm(c)).alias("norms"),
+                                                F.transform("values", lambda c: periods.parse_period(c)).alias("periods")).alias("r"))
+            .groupBy(*SHEET, "row").agg(F.collect_list("r").alias("_rows")))
+    at = F.col("col").cast("int") - 1
+
+    def cited(cell: Column, row: Column) -> Column:
+        return F.struct(F.get(cell["values"], at).alias("cell"), F.get(cell["norms"], at).alias("norm"), row["norms"].alias("row"))
+
+    single = F.get("_rows", F.lit(0))
+    reaching = F.filter("_rows", lambda r: (at >= 0) & (F.size(r["values"]) > at))
+    reaching = F.when(F.size(reaching) > 0, reaching).otherwise(F.array(F.get("_rows", F.lit(-1))))
+    every = F.flatten(F.transform(reaching, lambda c: F.transform("_rows", lambda r: cited(c, r))))
+    claimed, actual = numbers.parse_num(F.col("value_raw")), numbers.parse_num(F.col("_at.cell"))
+    value_ok = F.when(cell_norm(F.col("value_raw")) == F.col("_at.norm"), True).otherwise(
         F.coalesce(claimed == actual, F.lit(False)))
-    rows = grid.select(*SHEET, "row", F.transform("values", lambda c: cell_norm(c)).alias("_row"))
-    located = (located.join(rows, [*SHEET, "row"], "left")
-               .withColumns({"_coord_ok": F.col("_cell").isNotNull(), "_value_ok": value_ok,
-                             "_label_row": F.coalesce(F.exists("_row", lambda c: c.contains(F.col("_want"))), F.lit(False))})
-               .drop("_row"))
-    # labels not in the own row are looked for in the column: a semi join that stops at the first hit
-    open_labels = (located.filter(F.col("_coord_ok") & ~F.col("_label_row"))
-                   .select(*SHEET, "col", "_want").distinct().alias("l"))
-    cc = flat.select(*SHEET, "col", "_norm").alias("c")
-    label_hits = open_labels.join(
-        cc, [F.col(f"l.{k}") == F.col(f"c.{k}") for k in (*SHEET, "col")] + [F.col("c._norm").contains(F.col("l._want"))],
-        "left_semi").withColumn("_label_col", F.lit(True))
-    # periods readable in the row, the column, the sheet name or the file name
-    readable = flat.filter(F.col("_period").isNotNull()).withColumnRenamed("_period", "period")
-    row_periods = readable.select(*SHEET, "row", "period").distinct().withColumn("_p1", F.lit(True))
-    column_periods = readable.select(*SHEET, "col", "period").distinct().withColumn("_p2", F.lit(True))
-    titles = grid.select(*SHEET).distinct().withColumn("period", periods.parse_period(F.col("sheet")))
+    located = (p.join(rows, [*SHEET, "row"], "left")
+               .withColumns({"_p1": F.exists("_rows", lambda r: F.array_contains(r["periods"], F.col("period"))),
+                             "_at": F.explode(F.when(F.coalesce(F.size("_rows"), F.lit(0)) > 1, every).otherwise(F.array(cited(single, single))))})
+               .withColumns({"_coord_ok": F.col("_at.cell").isNotNull(), "_value_ok": value_ok,
+                             "_label_row": F.coalesce(F.exists("_at.row", lambda c: c.contains(F.col("_want"))), F.lit(False))})
+               .drop("_rows", "_at"))
+    # per column the labels found in it, of those proposed there, and the periods readable in it (labels and a calendar)
+    wanted = p.groupBy(*column).agg(F.collect_set("_want").alias("_wants"))
+    flat = cells(grid).select(*column, cell_norm(F.col("value")).alias("_norm"), periods.parse_period(F.col("value")).alias("_period"))
+    hits = F.filter("_wants", lambda w: F.col("_norm").contains(w))
+    columns = (flat.join(wanted, column, "left").withColumn("_hits", hits).groupBy(*column)
+               .agg(F.flatten(F.collect_set(F.when(F.size("_hits") > 0, F.col("_hits")))).alias("_labels"), F.collect_set("_period").alias("_periods"))
+               .withColumn("_title", periods.parse_period(F.col("sheet"))))
+    checked = (located.join(columns, column, "left")
+               .withColumns({"_label_col": F.array_contains("_labels", F.col("_want")), "_p2": F.array_contains("_periods", F.col("period")),
+                             "_p3": F.col("_title") == F.col("period")}))
     if file_names is not None:
-        named = file_names.select("file_id", periods.parse_period(F.col("name")).alias("period"))
-        titles = titles.unionByName(titles.select(*SHEET).join(named, "file_id"))
-    titles = titles.filter(F.col("period").isNotNull()).distinct().withColumn("_p3", F.lit(True))
-    checked = (located.join(label_hits, [*SHEET, "col", "_want"], "left")
-               .join(row_periods, [*SHEET, "row", "period"], "left")
-               .join(column_periods, [*SHEET, "col", "period"], "left")
-               .join(titles, [*SHEET, "period"], "left")
-               .withColumn("_period_ok", F.coalesce("_p1", "_p2", "_p3", F.lit(False))))
+        named = file_names.select("file_id", periods.parse_period(F.col("name")).alias("period")).filter(F.col("period").isNotNull())
+        checked = checked.join(named.distinct().withColumn("_p4", F.lit(True)), ["file_id", "period"], "left")
+    else:
+        checked = checked.withColumn("_p4", F.lit(False))
+    stated = F.coalesce("_p1", F.lit(False))
+    for place in ("_p2", "_p3", "_p4"):
+        stated = stated | F.coalesce(place, F.lit(False))
     no_period = F.col("period").isNull() | (F.col("period") == "")
     reason = (F.when(~F.col("_coord_ok"), F.lit("bad-coordinates"))
               .when(~F.col("_value_ok"), F.lit("value-not-in-cell"))
               .when((F.length("_want") < 2) | ~(F.col("_label_row") | F.coalesce("_label_col", F.lit(False))),
                     F.lit("label-not-found"))
-              .when(~no_period & ~F.col("_period_ok"), F.lit("period-not-found")))
-    judged = checked.withColumn("reason", reason)
-    first_kept = (judged.filter(F.col("reason").isNull()).groupBy(*where)
-                  .agg(F.min("proposal_no").alias("_first"), F.count(F.lit(1)).alias("_n"))
-                  .filter(F.col("_n") > 1).drop("_n"))
-    return (judged.join(first_kept, where, "left")
-            .withColumn("reason", F.coalesce("reason", F.when(F.col("proposal_no") > F.col("_first"),
-                                                              F.lit("duplicate-cell"))))
+              .when(~no_period & ~stated, F.lit("period-not-found")))
+    judged = checked.select(*proposals.columns, reason.alias("reason"))
+    # of those a cell backs the first stays; rows of a cell are together already
+    first = F.min(F.when(F.col("reason").isNull(), F.col("proposal_no"))).over(W.partitionBy(*where))
+    return (judged.withColumn("_first", first)
+            .withColumn("reason", F.coalesce("reason", F.when(F.col("proposal_no") > F.col("_first"), F.lit("duplicate-cell"))))
             .select(*proposals.columns, "reason"))
 
 
